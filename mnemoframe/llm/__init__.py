@@ -1,5 +1,5 @@
 """Operators for preparing training data; nothing else in the package imports this."""
 
-from mnemoframe.catalog import Catalog
+from mnemoframe.llm.queries import CATALOG
 
-CATALOG = Catalog()
+__all__ = ["CATALOG"]
