@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe.catalog import Catalog
-from mnemoframe.functions.names import common_file_name
+from mnemoframe.functions.names import common_file_name, epoch_second, trimmed
 from mnemoframe.llm.groups import connected_groups
+from mnemoframe.llm.history import near_duplicates_of_history, repeated_records, words_of
 from mnemoframe.llm.leaks import leaked_items
 from mnemoframe.llm.mixing import mix_report, weighted_mix, with_tokens
+from mnemoframe.llm.nearest import latest_vectors, nearest_vectors
 from mnemoframe.llm.spans import shared_amounts, sharing_pairs
+from mnemoframe.llm.together import items_together
 from mnemoframe.plans.memory_logs import name_sql
 from mnemoframe.plans.tables import table
 
@@ -47,6 +50,97 @@ def p2_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return _groups(spark, folder).groupBy("group_file").agg(F.count("*").alias("members"), F.max("filename").alias("last_file"))
 
 
+_TOGETHER_SQL = f"""
+e AS (SELECT DISTINCT session_id, second, file FROM (SELECT session_id, CASE WHEN ts > 100000000000 THEN ts // 1000 ELSE ts END AS second, {name_sql("filename")} AS file
+  FROM access_log WHERE ts > 0 AND trim(session_id) <> '') WHERE file IS NOT NULL),
+n AS (SELECT count(*) AS n_baskets FROM (SELECT DISTINCT session_id, second FROM e)),
+c AS (SELECT file, count(*) AS n FROM e GROUP BY file),
+p AS (SELECT x.file AS file_a, y.file AS file_b, count(*) AS n_ab FROM e x JOIN e y ON x.session_id = y.session_id AND x.second = y.second AND x.file < y.file GROUP BY ALL HAVING count(*) >= 5),
+t AS (SELECT file_a, file_b, n_ab, a.n AS n_a, b.n AS n_b, n_baskets, n_ab::DOUBLE * n_baskets / (a.n::DOUBLE * b.n) AS ratio FROM p JOIN c a ON file_a = a.file JOIN c b ON file_b = b.file, n WHERE n_ab * n_baskets >= 3 * a.n * b.n)
+"""
+
+
+def _together(spark: SparkSession, folder: str) -> DataFrame:
+    log = table(spark, folder, "access_log").select(common_file_name("filename").alias("file"), epoch_second("ts").alias("second"), "session_id")
+    return items_together(log.where(trimmed("session_id") != ""), ["session_id", "second"], "file")
+
+
+@CATALOG.query("p4_found", f"WITH {_TOGETHER_SQL} SELECT file_a, file_b FROM t")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files recalled in one batch at least five times and three times as often as by chance."""
+    return _together(spark, folder).select(F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
+
+
+@CATALOG.query("p4_beside_co_recall", f"""WITH {_TOGETHER_SQL},
+r AS (SELECT least(a, b) AS file_a, greatest(a, b) AS file_b, max(weight) AS weight FROM (SELECT {name_sql("a")} AS a, {name_sql("b")} AS b, weight FROM co_recall) WHERE a <> b GROUP BY ALL)
+SELECT file_a, file_b, n_ab, n_a, n_b, n_baskets, ratio, weight FROM t LEFT JOIN r USING (file_a, file_b)""")
+def p4_beside_co_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs with their counts and ratio, beside the greatest weight that co_recall has for them."""
+    a, b = common_file_name("a"), common_file_name("b")
+    weights = table(spark, folder, "co_recall").where(a != b).groupBy(F.least(a, b).alias("file_a"), F.greatest(a, b).alias("file_b")).agg(F.max("weight").alias("weight"))
+    pairs = _together(spark, folder).withColumnsRenamed({"item_a": "file_a", "item_b": "file_b"})
+    return pairs.join(weights, ["file_a", "file_b"], "left").select("file_a", "file_b", "n_ab", "n_a", "n_b", "n_baskets", "ratio", "weight")
+
+
+#: Least cosine of a pair of p5_found, and neighbours looked for.
+SIMILAR, NEIGHBOURS = 0.80, 5
+
+_NEAREST_SQL = f"""
+v AS (SELECT {name_sql("filename")} AS file, mtime, model, dim, vector FROM memory_vectors),
+m AS (SELECT file, max(mtime) AS mtime FROM v GROUP BY file),
+u AS (SELECT DISTINCT file, model, vector FROM v JOIN m USING (file, mtime) WHERE file IS NOT NULL AND model IS NOT NULL AND vector IS NOT NULL AND len(vector) = dim
+  AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+p AS (SELECT x.file AS id, y.file AS other, list_cosine_similarity(x.vector::DOUBLE[], y.vector::DOUBLE[]) AS similarity FROM u x JOIN u y ON x.model = y.model AND x.file <> y.file),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM p QUALIFY rank <= {NEIGHBOURS})
+"""
+
+
+def _nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_vectors(latest_vectors(table(spark, folder, "memory_vectors"), common_file_name("filename")), "id", "model", "vector", NEIGHBOURS)
+
+
+@CATALOG.query("p5_found", f"WITH {_NEAREST_SQL} SELECT DISTINCT least(id, other) AS file_a, greatest(id, other) AS file_b FROM k WHERE similarity >= {SIMILAR}")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of files of one model with close vectors, one among the five nearest of the other."""
+    close = _nearest(spark, folder).where(F.col("similarity") >= SIMILAR)
+    return close.select(F.least("id", "other").alias("file_a"), F.greatest("id", "other").alias("file_b")).distinct()
+
+
+@CATALOG.query("p5_nearest")
+def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar files of every file, as found by the index."""
+    return _nearest(spark, folder).select(F.col("id").alias("filename"), F.col("other").alias("neighbour"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+_HISTORY_SQL = r"""
+w AS (SELECT DISTINCT id, batch_no, list_distinct(regexp_extract_all(lower(coalesce(trigger, '') || ' ' || coalesce(action, '')), '[a-z0-9_]+')) AS s FROM heuristics WHERE id IS NOT NULL AND batch_no IS NOT NULL),
+h AS (SELECT DISTINCT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM w x JOIN w y ON x.id < y.id AND x.batch_no <> y.batch_no AND len(x.s) > 0 AND len(y.s) > 0
+  AND len(x.s) >= 0.7 * len(y.s) AND len(y.s) >= 0.7 * len(x.s)
+  WHERE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))::DOUBLE >= 0.7),
+o AS (SELECT row_id, batch_no, CASE WHEN starts_with(lower(trim(dedup_hash, chr(10)||chr(9)||' ')), 'sha256:') THEN substr(lower(trim(dedup_hash, chr(10)||chr(9)||' ')), 8) ELSE lower(trim(dedup_hash, chr(10)||chr(9)||' ')) END AS k,
+  array_to_string([trim(regexp_replace(regexp_replace(lower(coalesce(x, '')), '["''`‘’“”]', '', 'g'), '\s+', ' ', 'g')) FOR x IN [subject, predicate, object, kind]], chr(31)) AS f FROM observation_corroboration),
+f AS (SELECT f, min(k) AS known FROM o WHERE k IS NOT NULL GROUP BY f),
+c AS (SELECT row_id, batch_no, coalesce('k' || k, 'k' || known, 'f' || o.f) AS record FROM o LEFT JOIN f ON o.f = f.f),
+s AS (SELECT record, min(row_id) AS first_id, arg_min(batch_no, row_id) AS first_batch FROM c GROUP BY record)
+"""
+
+
+def _record_key() -> tuple[Column, Column]:
+    """The normal form of the stored hash, and what stands for a record without one."""
+    stored = F.lower(trimmed("dedup_hash"))
+    key = F.when(stored.startswith("sha256:"), F.substring(stored, 8, 1 << 30)).otherwise(stored)
+    plain = lambda c: trimmed(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "\"'`‘’“”", ""), r"[\s\x{85}\x{a0}]+", " "))
+    return key, F.concat_ws("\x1f", *[plain(F.col(c)) for c in ("subject", "predicate", "object", "kind")])
+
+
+@CATALOG.query("p6_found", f"WITH {_HISTORY_SQL} SELECT 'heuristics' AS rec_table, id_a, id_b FROM h UNION SELECT DISTINCT 'observation_corroboration', first_id, row_id FROM c JOIN s USING (record) WHERE batch_no > first_batch AND row_id > first_id")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a batch that repeat or nearly repeat one of another batch."""
+    near = near_duplicates_of_history(table(spark, folder, "heuristics"), "id", "batch_no", words_of("trigger", "action"), 0.7)
+    same = repeated_records(table(spark, folder, "observation_corroboration"), "row_id", "batch_no", *_record_key())
+    return near.select(F.lit("heuristics").alias("rec_table"), "id_a", "id_b").unionByName(same.select(F.lit("observation_corroboration").alias("rec_table"), "id_a", "id_b"))
+
+
 _LEAKS_SQL = """
 iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),

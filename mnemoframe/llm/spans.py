@@ -15,8 +15,8 @@ from mnemoframe.durable import as_table
 CHARS_PER_PASS = 1_000_000
 #: Partner texts that are streamed through one copy of a reference's automaton.
 PARTNERS_PER_SHARD = 256
-#: Documents with candidate regions up to which their positions go to the workers as a whole.
-BROADCAST_CLASSES = 200_000
+#: Shared anchors, of 16 bytes and their text's key, up to which they go to the workers as a whole.
+BROADCAST_PLACES = 1_000_000
 
 _BASE = 0xD6E8FEB86659FD93
 _MIX = 0x9E3779B97F4A7C15
@@ -278,7 +278,7 @@ def shared_spans(documents: DataFrame, least: int = 240, both_ways: bool = False
     rows = texts.withColumn("base", F.lit(0).cast("long")).mapInArrow(lambda it: _anchor_rows(it, least, k), _ANCHORS)
     places = _shared(as_table(rows, "span-anchors")).groupBy("class").agg(F.collect_set(F.struct("first", "last")).alias("places"))
     places = as_table(places, "span-places")
-    few = places.count() <= BROADCAST_CLASSES
+    few = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= BROADCAST_PLACES
     found = texts.join(F.broadcast(places) if few else places, "class").select("class", "text", "places")
     regions = found.mapInArrow(lambda it: _cut_regions(it, least, k), "class binary, text string, begin bigint").dropDuplicates(["class", "begin"])
     regions = as_table(regions, "span-regions")
