@@ -24,18 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a reliable checkpoint and continue from it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def as_table(df: DataFrame, name: str) -> DataFrame:
+def as_table(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to a parquet table in the shared folder and read it back.
 
-    Unlike :func:`cut` the result is compressed, column-pruned by its readers, and has a size
-    that the optimizer knows.
+    The lineage ends there, so that a lost executor costs nothing. Unlike a checkpointed RDD the
+    table is compressed and column-pruned by its readers, has a size that the optimizer
+    knows, and doesn't carry the constraints of the plan that made it, which double with every
+    round of a loop.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._mnemoframe_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`as_table` that nothing reads any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_mnemoframe_path", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
