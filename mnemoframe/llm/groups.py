@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.durable import as_table, cut
+from mnemoframe.durable import as_table, release
 
 
 def _ordered_ids(names: DataFrame) -> DataFrame:
@@ -17,13 +17,15 @@ def _ordered_ids(names: DataFrame) -> DataFrame:
 def _flattened(parents: DataFrame) -> DataFrame:
     """Pointer jumping: every ``node`` gets the root of its tree as ``parent``.
 
-    A parent that isn't a node itself is a root. Each round halves the depth and is checkpointed.
+    A parent that isn't a node itself is a root. Each round halves the depth and is written to the shared folder.
     """
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-        jumped = cut(parents.join(up, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved")))
-        parents = jumped.select("node", "parent")
-        if jumped.where("moved").isEmpty():
+        jumped = as_table(parents.join(up, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved")), "group-jump")
+        done = jumped.where("moved").isEmpty()
+        release(parents)
+        parents = jumped
+        if done:
             return parents
 
 
@@ -36,7 +38,8 @@ def connected_groups(links: DataFrame, a: Column | str = "a", b: Column | str =
     Every round gives each root the smallest label among its neighbours (propagation), flattens
     the trees that arise by pointer jumping, and draws the links between the roots that remain.
     It ends when no link joins two roots, that is when no label changes. Each round's links and
-    labels are checkpointed in the shared folder. A record with very many links
+    labels are written to the shared folder, which ends their lineage; the
+    round before is deleted. A record with very many links
     is only ever pre-aggregated or on the split side of a join.
     """
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
@@ -48,14 +51,18 @@ def connected_groups(links: DataFrame, a: Column | str = "a", b: Column | str =
         .join(ids.select(F.col("name").alias("b"), F.col("id").alias("high")), "b")
         .select("low", "high")
     )
-    edges = cut(edges)
-    labels = ids.select("name", F.col("id").alias("label"))
+    edges = as_table(edges, "group-edges")
+    labels = as_table(ids.select("name", F.col("id").alias("label")), "group-labels")
     while not edges.isEmpty():
         hooks = edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("parent"))
-        roots = _flattened(cut(hooks))
+        roots = _flattened(as_table(hooks, "group-hooks")).select("node", "parent")
+        drawn = edges
         for end in ("low", "high"):
-            edges = edges.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("parent", end)).drop("parent")
-        edges = cut(edges.where("low <> high").select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct())
-        labels = cut(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("name", F.coalesce("parent", "label").alias("label")))
+            drawn = drawn.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("parent", end)).drop("parent")
+        drawn = as_table(drawn.where("low <> high").select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct(), "group-edges")
+        moved = labels.join(roots.withColumnRenamed("node", "label"), "label", "left")
+        renamed = as_table(moved.select("name", F.coalesce("parent", "label").alias("label")), "group-labels")
+        release(edges, labels)
+        edges, labels = drawn, renamed
     firsts = ids.select(F.col("id").alias("label"), F.col("name").alias("group"))
     return labels.join(firsts, "label").select("group", F.col("name").alias("member"))
