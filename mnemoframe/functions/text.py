@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Formats, lists and patterns that results depend on.
 EXCLUDED_PATH_GLOBS = (
@@ -98,7 +99,7 @@ def _json_string(text: Column) -> Column:
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _ascii_only(texts: pd.Series) -> pd.Series:
     """Non-ASCII characters as JSON escapes; an Arrow function, as no built-in one does this."""
     return texts.map(lambda t: None if t is None else "".join(c if c < "\x7f" else "".join(f"\\u{u:04x}" for u in _utf16(c)) for c in t))
@@ -256,7 +257,7 @@ def occurrences(text: Column | str, term: Column | str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _cut_bytes(texts: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else t.encode("utf-8", "replace")[:n].decode("utf-8", "ignore") for t, n in zip(texts, most)])
 
