@@ -248,7 +248,11 @@ def linked_files(files: DataFrame, name: str = "filename") -> DataFrame:
 
 def verb_edges(docs: DataFrame, patterns: Sequence[tuple[str, str]], subject: str, key: str = "doc_id", text: str = "body") -> DataFrame:
     """``subject, type, object, confidence, source``: what group 1 of each pattern captures, of 3 to 50 characters."""
-    parts = [F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(1)), lambda x, t=t: F.struct(F.lit(t).alias("type"), F.btrim(x).alias("object"))) for p, t in patterns]
+    def found(pattern: str, type_: str) -> Column:
+        objects = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(1))
+        return F.transform(objects, lambda x: F.struct(F.lit(type_).alias("type"), F.btrim(x).alias("object")))
+
+    parts = [found(p, t) for p, t in patterns]
     rows = docs.select(F.col(key).alias("source"), F.explode(F.concat(*parts)).alias("e")).select("source", "e.type", "e.object")
     return rows.where(F.length("object").between(3, 50)).select(F.lit(subject).alias("subject"), "type", "object", F.lit(0.6).alias("confidence"), "source").distinct()
 

@@ -106,7 +106,7 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Jobs: the user of an event is the job, the event's type its change.
-JOBS_SQL = """jobs AS (SELECT user_id AS event_id, event_id AS seq, epoch(ts)::BIGINT AS at, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, event_type AS kind,
+JOBS_SQL = """jobs AS (SELECT user_id AS event_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS at, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, event_type AS kind,
   CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'dead' WHEN 'view' THEN 'processing' ELSE 'pending' END AS status, CAST(event_id % 4 AS INTEGER) AS attempts FROM events)"""
 
 
@@ -123,7 +123,7 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 EVENTS_NOW = 1706745600
 
 #: Observations: a session is a user's day, the tool is the event's type.
-OBS_SQL = """obs AS (SELECT event_id AS id, user_id || '/' || strftime(ts, '%Y-%m-%d') AS session_id, epoch(ts)::BIGINT AS ts, CASE WHEN event_type IN ('error', 'click') THEN 'shell' ELSE event_type END AS tool,
+OBS_SQL = """obs AS (SELECT event_id AS id, user_id || '/' || strftime(ts, '%Y-%m-%d') AS session_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, CASE WHEN event_type IN ('error', 'click') THEN 'shell' ELSE event_type END AS tool,
   event_type || ' ' || regexp_replace(props, '[^0-9]', '', 'g') || ' run' AS cmd, event_type = 'error' AS failed, 'f' || (event_id % 7) || '.md' AS file FROM events)"""
 
 
