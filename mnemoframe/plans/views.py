@@ -106,7 +106,7 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Jobs: the user of an event is the job, the event's type its change.
-JOBS_SQL = """jobs AS (SELECT user_id AS event_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS at, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, event_type AS kind,
+JOBS_SQL = """jobs AS (SELECT user_id AS event_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS tm, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at, event_type AS kind,
   CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'dead' WHEN 'view' THEN 'processing' ELSE 'pending' END AS status, CAST(event_id % 4 AS INTEGER) AS attempts FROM events)"""
 
 
