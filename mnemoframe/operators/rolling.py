@@ -47,17 +47,17 @@ def _shifted_add(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def _passes(starts: np.ndarray, cells: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of segments of about CELLS_PER_PASS cells; a longer segment is a run of its own."""
+def _passes(starts: np.ndarray, cells: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of segments of at most so many cells; a longer segment is a run of its own."""
     lo = 0
     while lo < len(starts):
         base = cells[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(cells, base + CELLS_PER_PASS, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(cells, base + most, side="right")))
         yield lo, hi
         lo = hi
 
 
-def _roll(batches: Iterator[pa.RecordBatch], windows: tuple[int, ...], last_day: int, every_day: bool, keep: Keep | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _roll(batches: Iterator[pa.RecordBatch], windows: tuple[int, ...], last_day: int, every_day: bool, keep: Keep | None, schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
     pad = max(windows) - 1
     for batch in batches:
         keys, lists = batch.column(0), batch.column(1)
@@ -76,7 +76,7 @@ def _roll(batches: Iterator[pa.RecordBatch], windows: tuple[int, ...], last_day:
         until = np.full(len(start), last_day) if every_day else np.minimum(last_day, day[end] + pad)
         until = np.maximum(until, day[end])
         span = until - day[start] + 1
-        for lo, hi in _passes(start, np.cumsum(span + pad)):
+        for lo, hi in _passes(start, np.cumsum(span + pad), most):
             place = np.concatenate([[0], np.cumsum(span[lo:hi] + pad)])
             rows = slice(start[lo], end[hi - 1] + 1)
             segment = np.cumsum(new[rows]) - 1
@@ -142,4 +142,5 @@ def rolling_totals(
     kind, arrow_kind = ("bigint", pa.int64()) if value is None else ("double", pa.float64())
     schema = pa.schema([("key", pa.string()), ("day", pa.date32()), ("total", arrow_kind)] + [(f"total_{w}", arrow_kind) for w in windows])
     ddl = f"key string, day date, total {kind}, " + ", ".join(f"total_{w} {kind}" for w in windows)
-    return series.mapInArrow(lambda it: _roll(it, windows, last_day, every_day, keep, schema), ddl)
+    most = CELLS_PER_PASS
+    return series.mapInArrow(lambda it: _roll(it, windows, last_day, every_day, keep, schema, most), ddl)
