@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.durable import as_table
+from mnemoframe.durable import as_table, release
 
 #: Sorted signature permutations of the forest.
 TREES = 96
@@ -107,7 +107,7 @@ class HashForest:
 
     def append(self, classes: DataFrame) -> DataFrame:
         """Adds a run for these records and returns it."""
-        run = as_table(self.signed(classes).repartition("tree").sortWithinPartitions("tree", "path"), "forest-run")
+        run = as_table(self._sorted(self.signed(classes)), "forest-run")
         self.runs.append(run)
         return run
 
@@ -116,7 +116,14 @@ class HashForest:
         whole = self.runs[0]
         for run in self.runs[1:]:
             whole = whole.unionByName(run)
-        self.runs = [as_table(whole.repartition("tree").sortWithinPartitions("tree", "path"), "forest-run")]
+        merged = as_table(self._sorted(whole), "forest-run")
+        release(*self.runs)
+        self.runs = [merged]
+
+    @staticmethod
+    def _sorted(signed: DataFrame) -> DataFrame:
+        """By tree and path; a tree's first level decides on the partition, so that a tree isn't one task."""
+        return signed.repartition("tree", F.shiftrightunsigned("path", 8 * (LEVELS - 1))).sortWithinPartitions("tree", "path")
 
     def candidates(self, batch: DataFrame, similarity: float) -> DataFrame:
         """``class, other``: records of the signed batch and records of the runs that may be similar.

@@ -172,7 +172,7 @@ def anchors(text_codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lea
     return of[first], at[first] - starts[of[first]], at[final] - starts[of[first]], values[first].view(np.int64)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int, k: int, chars: int) -> Iterator[pa.RecordBatch]:
     """Anchors of the texts in column 1; column 0 names the text, column 2 its offset in the record."""
     for batch in batches:
         pieces: list[tuple[int, int, str]] = []
@@ -193,11 +193,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Itera
             text, base = text.as_py(), batch.column(2)[r].as_py()
             if text is None or len(text) < least:
                 continue
-            for i in range(0, max(1, len(text) - least + 1), CHARS_PER_PASS):
-                piece = text[i : i + CHARS_PER_PASS + least - 1]
+            for i in range(0, max(1, len(text) - least + 1), chars):
+                piece = text[i : i + chars + least - 1]
                 pieces.append((r, base + i, piece))
                 size += len(piece)
-                if size >= CHARS_PER_PASS:
+                if size >= chars:
                     yield flush()
                     pieces, size = [], 0
         if pieces:
@@ -273,9 +273,9 @@ def shared_spans(documents: DataFrame, least: int = 240, both_ways: bool = False
     many partners are split into shards, each with its own copy of the automaton. Whole texts
     are read in two scans and only shuffled where the candidates' positions are too many to send out.
     """
-    k = least * 8 // 15
+    k, chars = least * 8 // 15, CHARS_PER_PASS
     texts = documents.select(F.unhex(F.md5(F.col(text))).alias("class"), F.col(text).cast("string").alias("text")).where(F.length("text") >= least)
-    rows = texts.withColumn("base", F.lit(0).cast("long")).mapInArrow(lambda it: _anchor_rows(it, least, k), _ANCHORS)
+    rows = texts.withColumn("base", F.lit(0).cast("long")).mapInArrow(lambda it: _anchor_rows(it, least, k, chars), _ANCHORS)
     places = _shared(as_table(rows, "span-anchors")).groupBy("class").agg(F.collect_set(F.struct("first", "last")).alias("places"))
     places = as_table(places, "span-places")
     few = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= BROADCAST_PLACES
@@ -283,7 +283,7 @@ def shared_spans(documents: DataFrame, least: int = 240, both_ways: bool = False
     regions = found.mapInArrow(lambda it: _cut_regions(it, least, k), "class binary, text string, begin bigint").dropDuplicates(["class", "begin"])
     regions = as_table(regions, "span-regions")
     fine = least * 13 // 15
-    close = regions.select("class", "text", "begin").mapInArrow(lambda it: _anchor_rows(it, least, fine), _ANCHORS).select("class", "anchor").distinct()
+    close = regions.select("class", "text", "begin").mapInArrow(lambda it: _anchor_rows(it, least, fine, chars), _ANCHORS).select("class", "anchor").distinct()
     close = as_table(_shared(close), "span-close")
     order = F.col("ref") != F.col("class") if both_ways else F.col("ref") < F.col("class")
     pairs = close.select("anchor", F.col("class").alias("ref")).join(close, "anchor").where(order).select("ref", "class").distinct()

@@ -102,7 +102,8 @@ def items_together(rows: DataFrame, basket: list[str], item: str, least_together
     blocks that are multiplied pair by pair, so that it never is in one place. No item is left
     out, however frequent.
     """
-    rows = rows.select(*basket, F.col(item).cast("string").alias("item"))
+    rows = rows.select(*[F.col(c).alias(f"basket_{i}") for i, c in enumerate(basket)], F.col(item).cast("string").alias("item"))
+    basket = [f"basket_{i}" for i in range(len(basket))]
     rows = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*basket, "item"]))
     codes, seed = _dictionary(rows.select("item").distinct())
     coded = rows.select(*basket, F.xxhash64("item", F.lit(seed)).alias("code"))
