@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python finds it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    # Spark's own file server hands the archive out; no executor reads this folder.
+    archive = Path(tempfile.mkdtemp(prefix="mnemoframe-")) / "mnemoframe_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
 
 def local_session(cores: int | str = 4, memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
     spark = (
