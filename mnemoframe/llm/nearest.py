@@ -17,13 +17,13 @@ from mnemoframe.durable import as_table
 #: Vectors on which all codebooks together are fitted, at most about so many.
 TRAINING_ROWS = 20_000
 #: Most centroids of a half.
-CENTROIDS = 128
+CENTROIDS = 256
 #: Vectors aimed at per pair of centroids.
 ROWS_PER_CELL = 4
-#: Entries that a query's traversal has to reach before it ends.
-CANDIDATES = 1500
+#: A query's traversal ends when it has reached this many times the root of the model's rows, and at least LEAST_CANDIDATES.
+CANDIDATES_PER_ROOT, LEAST_CANDIDATES = 1.5, 200
 #: Entries aimed at per shard of cells, most shards of a model, and entries of a shard that are compared at a time.
-ROWS_PER_SHARD, SHARDS, ROWS_PER_BLOCK = 2000, 256, 4096
+ROWS_PER_SHARD, SHARDS, ROWS_PER_BLOCK = 1000, 1024, 4096
 #: Queries that are compared with a block at a time.
 QUERIES_PER_PASS = 512
 
@@ -102,6 +102,10 @@ class MultiIndex:
         self.shard[full] = _distances(centers, _k_means(centers, n)).argmin(1)
         self.blocks = -(-np.bincount(self.shard, weights=sizes, minlength=n).astype(np.int64) // ROWS_PER_BLOCK)
 
+    def candidates(self) -> int:
+        """Entries that a traversal of this index reaches by default."""
+        return max(LEAST_CANDIDATES, int(CANDIDATES_PER_ROOT * math.sqrt(self.sizes.sum())))
+
     def traverse(self, a: np.ndarray, b: np.ndarray, candidates: int) -> set[int]:
         """Shards of the cells that one query visits.
 
@@ -160,7 +164,7 @@ def _with_cells(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cells)], names=["model", "class", "vector", "cell"])
 
 
-def _routed(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex], candidates: int) -> Iterator[pa.RecordBatch]:
+def _routed(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex], candidates: int | None) -> Iterator[pa.RecordBatch]:
     """Each vector as an entry of its cell's shard (kind 0) and as a query to the shards it visits (kind 1)."""
     for batch in batches:
         row, shard, block, kind = [], [], [], []
@@ -169,10 +173,11 @@ def _routed(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex], c
             index = indexes[model]
             unit = _unit(_matrix(batch.column(2).take(pa.array(rows)))).astype(np.float32)
             a, b = index.halves(unit)
+            enough = candidates or index.candidates()
             for k, r in enumerate(rows.tolist()):
                 own = int(index.shard[cells[r]])
                 row.append(r), shard.append(own), block.append(int(_scattered(int(classes[r])) % index.blocks[own])), kind.append(0)
-                for s in index.traverse(a[k], b[k], candidates):
+                for s in index.traverse(a[k], b[k], enough):
                     for part in range(index.blocks[s]):
                         row.append(r), shard.append(int(s)), block.append(part), kind.append(1)
         at = pa.array(row, pa.int64())
@@ -228,7 +233,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (of, to, similarity)], names=["class", "other", "similarity"])
 
 
-def nearest_classes(classes: DataFrame, k: int, candidates: int = CANDIDATES) -> DataFrame:
+def nearest_classes(classes: DataFrame, k: int, candidates: int | None = None) -> DataFrame:
     """``class, other, similarity``: for each class of equal vectors the k most similar others found.
 
     ``classes`` has ``model, class bigint, vector``; only vectors of one model are compared,
@@ -249,7 +254,7 @@ def nearest_classes(classes: DataFrame, k: int, candidates: int = CANDIDATES) ->
     return sorted_.mapInArrow(lambda it: _ranked(it, k), "class bigint, other bigint, similarity double")
 
 
-def nearest_vectors(rows: DataFrame, id: str, model: str, vector: str, k: int = 5, candidates: int = CANDIDATES) -> DataFrame:
+def nearest_vectors(rows: DataFrame, id: str, model: str, vector: str, k: int = 5, candidates: int | None = None) -> DataFrame:
     """``id, other, similarity, rank``: the k most similar ids of the same model for every id.
 
     Similarity is the cosine; on ties the alphabetically first id comes first. ``rows`` has one
