@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.durable import as_table
+from mnemoframe.durable import as_table, release
 from mnemoframe.functions.text import first_line_with
 from mnemoframe.operators.lexical import sized, top_ranked
 
@@ -76,20 +76,22 @@ def active_at(rows: DataFrame, at: Column) -> DataFrame:
     return rows.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
 
 
-def current_rows(links: DataFrame, most: int = 64) -> DataFrame:
+def current_rows(links: DataFrame) -> DataFrame:
     """``id, current, steps``: following ``superseded_by`` forward from every id of ``id, superseded_by``.
 
-    By pointer doubling: each round doubles the steps that a pointer spans. A cycle is cut after
-    2^7 rounds' worth of steps; its ids have a null ``current``.
+    By pointer doubling: each round doubles the steps that a pointer spans, so that a chain of n
+    ids takes log2(n) rounds. What then still moves is a cycle or leads into one; its ids have a
+    null ``current``.
     """
-    hops = as_table(links.select("id", F.coalesce("superseded_by", "id").alias("current"), F.when(F.col("superseded_by").isNull(), 0).otherwise(1).cast("long").alias("steps")))
-    for _ in range(most):
+    hops = as_table(links.select("id", F.coalesce("superseded_by", "id").alias("current"), F.when(F.col("superseded_by").isNull(), 0).otherwise(1).cast("long").alias("steps")), "chain")
+    for _ in range(hops.count().bit_length() + 1):
         further = hops.select(F.col("id").alias("current"), F.col("current").alias("_next"), F.col("steps").alias("_more"))
-        doubled = as_table(hops.join(further, "current", "left").select("id", F.coalesce("_next", "current").alias("current"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), (F.coalesce("_more", F.lit(0)) > 0).alias("_moved")))
-        hops = doubled.drop("_moved")
-        if doubled.where("_moved").isEmpty():
-            return hops
-        if doubled.agg(F.max("steps")).first()[0] > 1 << 40:
+        moved = hops.join(further, "current", "left")
+        doubled = as_table(moved.select("id", F.coalesce("_next", "current").alias("current"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps")), "chain")
+        still = doubled.agg(F.sum("steps")).first()[0] != hops.agg(F.sum("steps")).first()[0]
+        release(hops)
+        hops = doubled
+        if not still:
             break
     ends = links.where(F.col("superseded_by").isNull()).select(F.col("id").alias("current")).withColumn("_end", F.lit(True))
     return hops.join(ends, "current", "left").select("id", F.when(F.col("_end"), F.col("current")).alias("current"), "steps")

@@ -34,13 +34,16 @@ def lines_of(content: Column | str) -> Column:
 
 
 def read_texts(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.md", skip: Sequence[str] = ()) -> DataFrame:
-    """Whole texts of a folder as ``path, filename, content, mtime``, the skipped names left out."""
-    reader = spark.read.option("pathGlobFilter", pattern).option("wholetext", True)
+    """Whole texts of a folder as ``path, filename, content, mtime``, the skipped names left out.
+
+    Bytes that are no UTF-8 become replacement characters. Files of no bytes are no rows: Spark's listing leaves them out.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    rows = reader.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"),
-        (F.unix_micros("_metadata.file_modification_time") / F.lit(1e6)).alias("mtime"),
+    rows = reader.load(path).select(
+        "path", F.substring_index("path", "/", -1).alias("filename"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        (F.unix_micros("modificationTime") / F.lit(1e6)).alias("mtime"),
     )
     return rows.where(~F.col("filename").isin(list(skip))) if skip else rows
 
