@@ -76,11 +76,12 @@ def accumulating(rows: DataFrame, limit: float = REFLECT_AT) -> DataFrame:
 
 
 class _Debounce(StatefulProcessor):
-    def __init__(self, seconds: float) -> None:
-        self.seconds = seconds
+    def __init__(self, seconds: float, expire: bool) -> None:
+        self.seconds, self.expire = seconds, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("last", DoubleType())]), ttlDurationMs=int(self.seconds * 10_000))
+        ttl = int(self.seconds * 10_000) if self.expire else None
+        self.last = handle.getValueState("last", StructType([StructField("last", DoubleType())]), ttlDurationMs=ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -97,9 +98,15 @@ class _Debounce(StatefulProcessor):
         pass
 
 
-def debouncing(rows: DataFrame, seconds: float = DEBOUNCE_SECONDS) -> DataFrame:
-    """``content, at, id`` of a stream ``content string, at double, id long`` that are let through; forgotten contents' state expires."""
-    return rows.groupBy("content").transformWithStateInPandas(_Debounce(seconds), "content string, at double, id long", "Append", "ProcessingTime")
+def debouncing(rows: DataFrame, seconds: float = DEBOUNCE_SECONDS, expire: bool = True) -> DataFrame:
+    """``content, at, id`` of a stream ``content string, at double, id long`` that are let through.
+
+    Contents that don't come again are forgotten after ten times the period. That needs processing
+    time, with which a query that is triggered once for what is available doesn't end: such a
+    query takes ``expire=False``.
+    """
+    mode = "ProcessingTime" if expire else "None"
+    return rows.groupBy("content").transformWithStateInPandas(_Debounce(seconds, expire), "content string, at double, id long", "Append", mode)
 
 
 def small_enough(events: DataFrame, payload: str = "payload", most_bytes: int = DEBOUNCE_MOST_BYTES) -> DataFrame:

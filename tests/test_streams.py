@@ -28,7 +28,7 @@ def test_accumulator_equals_batch(spark, stores, tmp_path):
 def test_debounce_equals_batch(spark, stores, tmp_path):
     rows = [(f"k{i % 2}", float(i * 13 % 500), i) for i in range(60)]
     ddl = "content string, at double, id long"
-    got = {tuple(r) for r in streamed(spark, tmp_path, rows, ddl, S.debouncing, parts=1).collect()}
+    got = {tuple(r) for r in streamed(spark, tmp_path, rows, ddl, lambda s: S.debouncing(s, expire=False), parts=1).collect()}
     batch = debounced(spark.createDataFrame(rows, ddl), F.col("content"), "at", "id", F.lit("x"))
     assert got == {tuple(r) for r in batch.collect()}
 
