@@ -24,6 +24,20 @@ def similar_texts(spark, d):
     return lexical.similar_texts(table(spark, d, "documents"), "doc_id", "text", 0.9).withColumn("similarity", F.round("similarity", 6))
 
 
+_SIMILAR = f"WITH {_COUNTS}, p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.tf * y.tf) AS dot FROM cc x JOIN cc y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL), s AS (SELECT a, b, dot / (u.norm * v.norm) AS similarity FROM p JOIN f u ON a = u.class JOIN f v ON b = v.class)"
+
+
+@CATALOG.query("duplicate_texts", f"{_SIMILAR} SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE round(similarity, 12) >= 0.55")
+def duplicate_texts(spark, d):
+    """Pairs of texts from the duplicate limit on; ``similar_texts`` has only the near copies among them."""
+    return lexical.similar_texts(table(spark, d, "documents"), "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
+
+
+@CATALOG.query("audit_duplicate_texts", f"{_SIMILAR} SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE round(similarity, 12) >= 0.70")
+def audit_duplicate_texts(spark, d):
+    return lexical.similar_texts(table(spark, d, "documents"), "doc_id", "text", lexical.AUDITED_DUPLICATE).withColumn("similarity", F.round("similarity", 6))
+
+
 @CATALOG.query("text_classes", f"WITH {_COUNTS} SELECT doc_id AS key, class FROM k JOIN f USING (sig)")
 def text_classes(spark, d):
     return lexical.text_members(table(spark, d, "documents"), "doc_id", "text").select("key", "class")
