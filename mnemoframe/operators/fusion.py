@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions.scores import RRF_K
-from mnemoframe.operators.lexical import sized, top_ranked
+from mnemoframe.operators.lexical import contained_patterns, sized, top_ranked
 
 # Fixed values of the prompt path.
 PROMPT_LEAST_CHARS, PROMPT_LEAST_SCORE, PROMPT_MOST_HITS, FALLBACK_BELOW = 10, 0.012, 3, 0.04
@@ -49,15 +49,14 @@ def spread(seeds: DataFrame, edges: DataFrame, per_seed: int = SPREAD_NEIGHBOURS
 def filename_votes(queries: DataFrame, files: DataFrame, key: str = "key", name: str = "filename") -> DataFrame:
     """``query_id, key, rank`` (always 1) for files whose stem of six characters and more is in the query, with ``_`` or spaces.
 
-    Stems are matched from the query's side: all runs of its words are looked up among the stems,
-    so that files times queries never meet.
+    A stem counts wherever it stands, also within a longer word. Stems are looked up by their
+    grams (:func:`contained_patterns`), so that files times queries never meet.
     """
     stem = F.regexp_replace(F.lower(F.col(name)), r"\.md$", "")
-    stems = files.select(F.col(key).alias("key"), F.translate(stem, "_", " ").alias("stem")).where(F.length("stem") >= STEM_LEAST_CHARS)
-    words = F.split(F.translate(F.lower("query"), "_", " "), r"[^a-z0-9-]+")
-    runs = F.expr("flatten(transform(sequence(0, greatest(size(words) - 1, 0)), i -> transform(sequence(1, least(8, size(words) - i)), n -> array_join(slice(words, i + 1, n), ' '))))")
-    asked = queries.select("query_id", words.alias("words")).select("query_id", F.explode(F.array_distinct(runs)).alias("stem"))
-    return stems.join(sized(asked), "stem").select("query_id", "key", F.lit(1).alias("rank")).distinct()
+    stems = files.select(F.col(key).alias("key"), F.translate(stem, "_", " ").alias("pattern")).where(F.length("pattern") >= STEM_LEAST_CHARS)
+    asked = queries.select("query_id", F.translate(F.lower("query"), "_", " ").alias("query"))
+    found = contained_patterns(asked, stems, "query_id", "query")
+    return stems.join(sized(found), "pattern").select("query_id", "key", F.lit(1).alias("rank")).distinct()
 
 
 def hybrid_search(

@@ -1,7 +1,7 @@
 """Results that earlier versions cut short."""
 
 import __spark_entry__ as entry
-from mnemoframe.operators import lexical
+from mnemoframe.operators import fusion, lexical
 
 
 def test_duplicates_from_the_references_limit_on(spark, tmp_path):
@@ -13,3 +13,11 @@ def test_duplicates_from_the_references_limit_on(spark, tmp_path):
     pairs = lambda name: {(r["a"], r["b"]) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
     assert pairs("duplicate_texts") == {(1, 2), (1, 3), (2, 3)}
     assert pairs("audit_duplicate_texts") == {(1, 3), (2, 3)}
+
+
+def test_stems_vote_wherever_they_stand(spark):
+    names = ["observer_counter.md", "plan_v2.md", "a_b_c_d_e_f_g_h_i_j.md", "c++.notes.md", "größe_x.md", "two__bars.md", "short.md", "absent_one.md"]
+    files = spark.createDataFrame(list(enumerate(names)), "key long, filename string")
+    said = [(1, "see observer_counters"), (2, "plan_v2-old"), (3, "A b c d e f g h i j"), (4, "the c++.notes, größe x and two__bars; short"), (5, None)]
+    got = {(r["query_id"], r["key"]) for r in fusion.filename_votes(spark.createDataFrame(said, "query_id long, query string"), files).collect()}
+    assert got == {(1, 0), (2, 1), (3, 2), (4, 3), (4, 4), (4, 5)}
