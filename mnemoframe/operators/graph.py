@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.durable import as_table, release
 from mnemoframe.functions.text import first_line_with
-from mnemoframe.operators.lexical import sized, top_ranked
+from mnemoframe.operators.lexical import contained_patterns, sized, top_ranked
 
 # Constants that results depend on.
 RESTART, ITERATIONS, EDGE_FLOOR, EDGE_HALF_LIFE = 0.15, 30, 0.05, 180.0
@@ -230,22 +230,45 @@ def query_entities(queries: DataFrame, entities: DataFrame, blocked: Sequence[st
     return _runs_of(queries, ["query_id"], "query", 6).join(keys, "run").select("query_id", "id").distinct()
 
 
+def _segments(c: str) -> Column:
+    """A text cut at every word boundary: runs of letters, digits and ``_``, and what lies between."""
+    return F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"), F.lit(1))
+
+
+def _whole_patterns(texts: DataFrame, patterns: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, pattern``: the patterns of ``pattern`` that stand in a text, as they are, between word boundaries.
+
+    Such a pattern is a run of whole segments, so that runs of as many segments are looked up among the patterns.
+    """
+    wanted = patterns.select("pattern", F.size(_segments("pattern")).alias("n")).where("n > 0").distinct()
+    sizes = [r["n"] for r in wanted.select("n").distinct().collect()]
+    if not sizes:
+        return texts.select(key, F.lit(None).cast("string").alias("pattern")).limit(0)
+    cut = texts.select(key, _segments(text).alias("_w"))
+    return _runs(cut, [key], sizes, "").join(sized(wanted.select(F.col("pattern").alias("run"))), "run").select(key, F.col("run").alias("pattern")).distinct()
+
+
+def _runs(df: DataFrame, keep: list[str], sizes: Sequence[int], between: str) -> DataFrame:
+    """``keep..., run``: distinct runs of so many parts of ``_w``."""
+    parts = ", ".join(f"IF(size(_w) >= {n}, transform(sequence(0, greatest(size(_w) - {n}, 0)), i -> array_join(slice(_w, i + 1, {n}), '{between}')), array())" for n in sorted(sizes))
+    return df.select(*keep, F.explode(F.array_distinct(F.expr(f"flatten(array({parts}))"))).alias("run"))
+
+
 def linked_files(files: DataFrame, name: str = "filename") -> DataFrame:
     """``from_file, to_file``: explicit ``related`` names and file names or stems in ``body``, of files that exist.
 
-    Bodies are cut into name-like tokens that are looked up among the files; a stem counts where
-    it stands as a whole word. A file isn't linked with itself.
+    A file name counts wherever it stands in a body, a stem between word boundaries (letters,
+    digits and ``_`` make words), both in the same case. Names are looked up by their grams, stems
+    among the runs of a body's segments. A file isn't linked with itself.
     """
-    known = files.select(F.col(name).alias("to_file"), F.regexp_replace(name, r"\.md$", "").alias("stem")).distinct()
-    by_name = known.select("to_file", F.col("to_file").alias("token")).unionByName(known.select("to_file", F.col("stem").alias("token"))).distinct()
-    said = files.select(F.col(name).alias("from_file"), F.explode(F.transform(F.coalesce("related", F.array().cast("array<string>")), lambda x: F.btrim(x))).alias("token"))
-    words = F.array_distinct(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"([A-Za-z0-9_][A-Za-z0-9_.-]*)"), F.lit(1)))
-    # A token may end a sentence or carry the file's ending.
-    variants = F.flatten(F.transform(words, lambda w: F.array(w, F.regexp_replace(w, r"[.-]+$", ""), F.regexp_replace(w, r"\.md[.-]*$", ""))))
-    in_body = files.select(F.col(name).alias("from_file"), F.explode(F.array_distinct(variants)).alias("token"))
-    explicit = said.join(known.select("to_file", F.col("to_file").alias("token")), "token").select("from_file", "to_file")
-    mentioned = in_body.join(by_name, "token").select("from_file", "to_file")
-    return explicit.unionByName(mentioned).where("from_file <> to_file").distinct()
+    known = files.select(F.col(name).alias("to_file"), F.replace(F.col(name), F.lit(".md"), F.lit("")).alias("stem")).distinct()
+    said = files.select(F.col(name).alias("from_file"), F.explode(F.transform(F.coalesce("related", F.array().cast("array<string>")), lambda x: F.btrim(x))).alias("to_file"))
+    explicit = said.join(known.select("to_file"), "to_file").select("from_file", "to_file")
+    bodies = files.select(F.col(name).alias("from_file"), F.col("body").alias("body"))
+    named = contained_patterns(bodies, known.select(F.col("to_file").alias("pattern")), "from_file", "body").select("from_file", F.col("pattern").alias("to_file"))
+    stems = _whole_patterns(bodies, known.select(F.col("stem").alias("pattern")), "from_file", "body")
+    by_stem = stems.join(known.withColumnRenamed("stem", "pattern"), "pattern").select("from_file", "to_file")
+    return explicit.unionByName(named).unionByName(by_stem).where("from_file <> to_file").distinct()
 
 
 def verb_edges(docs: DataFrame, patterns: Sequence[tuple[str, str]], subject: str, key: str = "doc_id", text: str = "body") -> DataFrame:

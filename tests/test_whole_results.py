@@ -1,7 +1,7 @@
 """Results that earlier versions cut short."""
 
 import __spark_entry__ as entry
-from mnemoframe.operators import fusion, lexical
+from mnemoframe.operators import fusion, graph, lexical
 
 
 def test_duplicates_from_the_references_limit_on(spark, tmp_path):
@@ -21,3 +21,14 @@ def test_stems_vote_wherever_they_stand(spark):
     said = [(1, "see observer_counters"), (2, "plan_v2-old"), (3, "A b c d e f g h i j"), (4, "the c++.notes, größe x and two__bars; short"), (5, None)]
     got = {(r["query_id"], r["key"]) for r in fusion.filename_votes(spark.createDataFrame(said, "query_id long, query string"), files).collect()}
     assert got == {(1, 0), (2, 1), (3, 2), (4, 3), (4, 4), (4, 5)}
+
+
+def test_files_are_linked_by_names_anywhere_and_stems_at_boundaries(spark):
+    bodies = {
+        "a.md": "project_alpha-related", "b.md": "project_alpha.txt", "c.md": "x-project_alpha or x.project_alpha", "d.md": "xproject_alpha.mdx", "e.md": "xproject_alpha, project_alphas",
+        "f.md": "my plan (v2) and c++ größe", "project_alpha.md": "project_alpha", "my plan.md": None, "größe.md": "",
+    }
+    df = spark.createDataFrame([(f, None, b) for f, b in bodies.items()], "filename string, related array<string>, body string")
+    got = {(r["from_file"], r["to_file"]) for r in graph.linked_files(df).collect()}
+    # The stem "c" stands between boundaries in "c++", the name "a.md" within "xproject_alpha.mdx".
+    assert got == {(f, "project_alpha.md") for f in ("a.md", "b.md", "c.md", "d.md")} | {("f.md", "my plan.md"), ("f.md", "größe.md"), ("f.md", "c.md"), ("d.md", "a.md")}
