@@ -200,34 +200,57 @@ def ranked_files(ranks: DataFrame, mentions: DataFrame, k: int) -> DataFrame:
     return top_ranked(scored, k, ["query_id"], [F.desc(F.round("score", 10)), F.col("key")])
 
 
-def _runs_of(df: DataFrame, keep: list[str], text: str, longest: int) -> DataFrame:
-    """``keep..., run``: distinct runs of one to ``longest`` words."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    runs = F.expr(f"flatten(transform(sequence(0, greatest(size(_w) - 1, 0)), i -> transform(sequence(1, least({longest}, greatest(size(_w) - i, 1))), n -> array_join(slice(_w, i + 1, n), ' '))))")
-    return df.select(*keep, words.alias("_w")).where("size(_w) > 0").select(*keep, F.explode(F.array_distinct(runs)).alias("run"))
+#: Keys of other letters than a-z: those that hold any, and what their words are cut at.
+_OTHER, _OTHER_CUT, _PLAIN_CUT = r"[\p{L}\p{N}&&[^a-z0-9]]", r"[^\p{L}\p{N}]+", "[^a-z0-9]+"
 
 
-def mentions_of(docs: DataFrame, keys: DataFrame, key: str = "doc_id", text: str = "body", longest: int = 4) -> DataFrame:
+def _words(c: str, cut: str) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), cut), lambda w: w != "")
+
+
+def _key_hits(texts: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, and the columns of ``keys`` (``key_low`` among them), of keys that occur in a text as whole words.
+
+    Runs of a text's words, of as many as any key has, are looked up among the keys. Words are of a-z
+    and 0-9; keys with other letters or digits have words of any of these, keys without any are
+    looked up as they stand between word boundaries.
+    """
+    found = None
+    other = F.col("key_low").rlike(_OTHER)
+    for cut, kind in ((_PLAIN_CUT, ~other), (_OTHER_CUT, other)):
+        wanted = keys.where(kind).withColumn("_k", _words("key_low", cut)).where("size(_k) > 0")
+        sizes = [r["n"] for r in wanted.select(F.size("_k").alias("n")).distinct().collect()]
+        if not sizes:
+            continue
+        wanted = wanted.withColumn("run", F.array_join("_k", " ")).drop("_k").distinct()
+        hits = _runs(texts.select(key, _words(text, cut).alias("_w")), [key], sizes, " ").join(sized(wanted), "run").drop("run")
+        found = hits if found is None else found.unionByName(hits)
+    bare = keys.where(~F.col("key_low").rlike(r"[\p{L}\p{N}]"))
+    low = texts.select(key, F.lower(text).alias("_low"))
+    hits = _whole_patterns(low, bare.select(F.col("key_low").alias("pattern")), key, "_low").withColumnRenamed("pattern", "key_low").join(bare, "key_low")
+    return hits if found is None else found.unionByName(hits)
+
+
+def mentions_of(docs: DataFrame, keys: DataFrame, key: str = "doc_id", text: str = "body") -> DataFrame:
     """``key, canonical, excerpt``: entities whose name or alias occurs as whole words in a text.
 
-    ``keys`` has ``key_text, canonical``; keys have three characters and more, and at most
-    ``longest`` words of a-z and 0-9. Each canonical name comes once a text, by its longest key
-    that occurs; the excerpt is the first line that holds it. Texts' word runs are looked up
-    among the keys, so that texts times keys never meet.
+    ``keys`` has ``key_text, canonical``; keys have three characters and more, of any number of
+    words. Each canonical name comes once a text, by its longest key that occurs; the excerpt
+    is the first line that holds it. Texts' word runs are looked up among the keys
+    (:func:`_key_hits`), so that texts times keys never meet.
     """
-    wanted = keys.where(F.length("key_text") >= 3).select(F.lower("key_text").alias("key_low"), "canonical")
-    wanted = wanted.withColumn("run", F.array_join(F.filter(F.split("key_low", "[^a-z0-9]+"), lambda w: w != ""), " ")).where("run <> ''").distinct()
-    hits = _runs_of(docs, [key], text, longest).join(sized(wanted), "run")
+    wanted = keys.where(F.length("key_text") >= 3).select(F.lower("key_text").alias("key_low"), "canonical").distinct()
+    hits = _key_hits(docs, wanted, key, text)
     best = hits.groupBy(key, "canonical").agg(F.max_by("key_low", F.struct(F.length("key_low"), "key_low")).alias("key_low"))
     return best.join(docs.select(key, F.col(text).alias("_text")), key).select(key, "canonical", first_line_with("_text", F.col("key_low")).alias("excerpt"))
 
 
 def query_entities(queries: DataFrame, entities: DataFrame, blocked: Sequence[str] = ()) -> DataFrame:
-    """``query_id, id``: entities whose name or alias occurs as whole words in a query; blocked names never do."""
+    """``query_id, id``: entities whose name or alias, of three characters and more, occurs as whole words in a query; blocked names never do."""
     keys = entities.select("id", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("key_text")).where(F.col("key_text").isNotNull())
     keys = keys.where((F.length("key_text") >= 3) & ~F.lower("key_text").isin([b.lower() for b in blocked] or [""]))
-    keys = keys.select("id", F.array_join(F.filter(F.split(F.lower("key_text"), "[^a-z0-9]+"), lambda w: w != ""), " ").alias("run")).where("run <> ''")
-    return _runs_of(queries, ["query_id"], "query", 6).join(keys, "run").select("query_id", "id").distinct()
+    keys = keys.select("id", F.lower("key_text").alias("key_low")).distinct()
+    return _key_hits(queries, keys, "query_id", "query").select("query_id", "id").distinct()
 
 
 def _segments(c: str) -> Column:

@@ -32,3 +32,14 @@ def test_files_are_linked_by_names_anywhere_and_stems_at_boundaries(spark):
     got = {(r["from_file"], r["to_file"]) for r in graph.linked_files(df).collect()}
     # The stem "c" stands between boundaries in "c++", the name "a.md" within "xproject_alpha.mdx".
     assert got == {(f, "project_alpha.md") for f in ("a.md", "b.md", "c.md", "d.md")} | {("f.md", "my plan.md"), ("f.md", "größe.md"), ("f.md", "c.md"), ("d.md", "a.md")}
+
+
+def test_entities_of_many_words_and_other_letters(spark):
+    names = ["one two three four five six seven eight", "猫の手帳", "Größe neun", "+++", "plain"]
+    docs = spark.createDataFrame([(1, "x: One two three four five six seven eight."), (2, "das 猫の手帳 und größe neun"), (3, "a+++b"), (4, "explain gr neun")], "doc_id long, body string")
+    keys = spark.createDataFrame([(n, n) for n in names], "key_text string, canonical string")
+    want = {(1, names[0]), (2, names[1]), (2, names[2]), (3, names[3])}
+    assert {(r["doc_id"], r["canonical"]) for r in graph.mentions_of(docs, keys).collect()} == want
+    entities = spark.createDataFrame([(n, n, None) for n in names], "id string, name string, aliases array<string>")
+    asked = docs.selectExpr("doc_id AS query_id", "body AS query")
+    assert {(r["query_id"], r["id"]) for r in graph.query_entities(asked, entities).collect()} == want
