@@ -12,7 +12,7 @@ from mnemoframe.llm.history import near_duplicates_of_history, repeated_records,
 from mnemoframe.llm.leaks import leaked_items
 from mnemoframe.llm.mixing import mix_report, weighted_mix, with_tokens
 from mnemoframe.llm.nearest import latest_vectors, nearest_vectors
-from mnemoframe.llm.spans import shared_amounts, sharing_pairs
+from mnemoframe.llm.spans import document_spans, shared_amounts, sharing_pairs
 from mnemoframe.llm.together import items_together
 from mnemoframe.plans.memory_logs import name_sql
 from mnemoframe.plans.tables import table
@@ -193,3 +193,9 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 def p9_shared_amounts(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each document recurs verbatim in others."""
     return shared_amounts(table(spark, folder, "documents"), SPAN)
+
+
+@CATALOG.query("p9_spans")
+def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of each document that recur verbatim in others."""
+    return document_spans(table(spark, folder, "documents"), SPAN)

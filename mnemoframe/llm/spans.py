@@ -334,3 +334,17 @@ def shared_amounts(documents: DataFrame, least: int = 240, text: str = "text") -
         "doc_id", "n_chars", "copies", F.coalesce("partners", F.lit(0)).cast("long").alias("partners"),
         F.when(F.col("copies") > 0, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("long").alias("shared_chars"),
     ).distinct()
+
+
+def document_spans(documents: DataFrame, least: int = 240, text: str = "text") -> DataFrame:
+    """``doc_id, begin, end``: the stretches of each document that recur in another, maximal for each partner.
+
+    Offsets count code points, ``end`` is exclusive; equal stretches come once. A document with
+    a copy has its whole text as a stretch, besides those it shares with different texts.
+    """
+    members = text_classes(documents, least)
+    spans = shared_spans(documents, least, both_ways=True, text=text).select("class", "begin", "end").distinct()
+    copied = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    lengths = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.col(text))).alias("class"), F.length(text).cast("long").alias("end"))
+    whole = members.join(copied, "class").join(lengths, ["doc_id", "class"]).select("doc_id", F.lit(0).cast("long").alias("begin"), "end")
+    return members.join(spans, "class").select("doc_id", "begin", "end").unionByName(whole).distinct()
