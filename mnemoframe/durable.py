@@ -1,11 +1,12 @@
 """Cutting lineage in the folder that the cluster shares.
 
-The folder is read from ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-machine) does this module choose one.
+The folder is read from ``spark.checkpoint.dir``. Only where that is unset and all of Spark runs in
+one process (tests, a single machine) does this module choose one; a cluster has to name it.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,17 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set where none is configured."""
+    """The session's checkpoint folder; in local mode a temporary one is set where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="mnemoframe-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def as_table(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to a parquet table in the shared folder and read it back.
 

@@ -76,8 +76,10 @@ def routed(events: DataFrame, trusted: Sequence[str], open_kinds: Sequence[str],
 
 
 def inserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Insert or ignore: the table and the rows whose key it lacks, the first per key by all columns."""
-    fresh = rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
+    """Insert or ignore: the table and the rows whose key it lacks, the first per key by all other columns, in their order, nulls first."""
+    others = [c for c in table.columns if c not in keys]
+    fresh = rows.groupBy(*keys).agg(F.min(F.struct(*others) if others else F.lit(0)).alias("_r"))
+    fresh = fresh.join(table.select(*keys), keys, "left_anti").select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
     return table.unionByName(fresh.select(*table.columns))
 
 

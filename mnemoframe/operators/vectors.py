@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,56 +16,57 @@ from mnemoframe.functions.scores import cosine
 QUERIES_PER_BLOCK = 4096
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = values.reshape(len(column), -1)
+def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _block_scores(batches: Iterator[pa.RecordBatch], names: list, unit: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+def _block_scores(batches: Iterator[pa.RecordBatch], asked: dict[int, tuple[list, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """Each batch's k best rows of the length of a query, for the queries by length."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        scores = _unit(batch.column(1)) @ unit.T * batch.column(2).to_numpy()[:, None]
-        order = np.argsort(-scores, axis=0, kind="stable")[:k]
-        # Rows tied with the last stay too; the ranking over all batches decides.
-        last = np.take_along_axis(scores, order[-1:], 0)
-        row, query = np.nonzero(scores >= last)
-        yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in query]), batch.column(0).take(pa.array(row)), pa.array(scores[row, query])], names=["query_id", "key", "score"])
+        lengths = pc.list_value_length(batch.column(1)).to_numpy()
+        for n, (names, unit) in asked.items():
+            at = np.flatnonzero(lengths == n)
+            if not len(at):
+                continue
+            part = batch.take(pa.array(at))
+            rows = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n))
+            scores = rows @ unit.T * part.column(2).to_numpy()[:, None]
+            # Rows tied with the last stay too; the ranking over all batches decides.
+            last = -np.partition(-scores, min(k, len(at)) - 1, axis=0)[min(k, len(at)) - 1]
+            row, query = np.nonzero(scores >= last)
+            yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in query], pa.int64()), part.column(0).take(pa.array(row)), pa.array(scores[row, query])], names=["query_id", "key", "score"])
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, factor: str | None = None, least: float | None = None) -> DataFrame:
     """``query_id, key, score, rank``: the k rows of the greatest cosine for each query, exactly.
 
     ``vectors`` has ``key bigint, vector`` and a column ``factor`` that multiplies the score if
-    named; ``queries`` has ``query_id bigint, vector``. Rows and queries whose vector is null or has another length
-    than the queries' commonest are left out; a zero vector scores 0. Ties go by key.
+    named; ``queries`` has ``query_id bigint, vector``. A query is held against the rows whose vector is as
+    long as its own. Rows and queries without vector are left out; a zero vector scores 0. Ties go by key.
 
     The queries are a stated set: they go out in blocks of bounded size, and every row is held
     against a block by one matrix product. Only the k best of each batch are shuffled.
     """
-    dims = queries.where("vector IS NOT NULL").groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     out_schema = "query_id bigint, key bigint, score double"
-    if dims is None:
-        return vectors.sparkSession.createDataFrame([], out_schema + ", rank int")
-    asked = queries.where(F.size("vector") == dims["n"]).select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
-    rows = vectors.where(F.size("vector") == dims["n"]).select(F.col("key").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector"), (F.col(factor).cast("double") if factor else F.lit(1.0)).alias("factor"))
-    found, block = None, []
+    asked = queries.where("size(vector) > 0").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = vectors.where("size(vector) > 0").select(F.col("key").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector"), (F.col(factor).cast("double") if factor else F.lit(1.0)).alias("factor"))
+    found = vectors.sparkSession.createDataFrame([], out_schema)
 
     def scored(block):
-        matrix = np.array([v for _, v in block])
-        norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-        shared = vectors.sparkSession.sparkContext.broadcast(([q for q, _ in block], unit))
-        return rows.mapInArrow(lambda it: _block_scores(it, *shared.value, k), out_schema)
+        by_length: dict[int, list] = {}
+        for q, v in block:
+            by_length.setdefault(len(v), []).append((q, v))
+        shared = vectors.sparkSession.sparkContext.broadcast({n: ([q for q, _ in own], _unit(np.array([v for _, v in own]))) for n, own in by_length.items()})
+        return rows.mapInArrow(lambda it: _block_scores(it, shared.value, k), out_schema)
 
+    block: list = []
     for r in asked.toLocalIterator():
         block.append((r["query_id"], r["vector"]))
         if len(block) == QUERIES_PER_BLOCK:
-            found, block = scored(block) if found is None else found.unionByName(scored(block)), []
+            found, block = found.unionByName(scored(block)), []
     if block:
-        found = scored(block) if found is None else found.unionByName(scored(block))
+        found = found.unionByName(scored(block))
     if least is not None:
         found = found.where(F.round("score", 10) >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "key")
@@ -84,15 +86,16 @@ def close_pairs(vectors: DataFrame, least: float, planes: int = 16, tables: int
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit = 1 << np.arange(planes, dtype=np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = _unit(batch.column(1))
-            normals = np.random.default_rng(seed).standard_normal((unit.shape[1], tables * planes))
-            sides = (unit @ normals > 0).reshape(len(unit), tables, planes)
-            buckets = (sides * bit).sum(axis=2)
-            alive = np.flatnonzero(np.abs(unit).sum(axis=1) > 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(alive) * tables + 1, tables, dtype=np.int32)), pa.array(buckets[alive].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), lists], names=["key", "buckets"])
+            lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths[lengths > 0]).astype(int).tolist():
+                part = batch.take(pa.array(np.flatnonzero(lengths == n)))
+                unit = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n))
+                normals = np.random.default_rng(seed).standard_normal((n, tables * planes))
+                sides = (unit @ normals > 0).reshape(len(unit), tables, planes)
+                buckets = (sides * bit).sum(axis=2)
+                alive = np.flatnonzero(np.abs(unit).sum(axis=1) > 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(alive) * tables + 1, tables, dtype=np.int32)), pa.array(buckets[alive].ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(alive)), lists], names=["key", "buckets"])
 
     key_type = classes.schema["key"].dataType.simpleString()
     hashed = classes.select("key", "vector").mapInArrow(bucketed, f"key {key_type}, buckets array<bigint>").select("key", F.posexplode("buckets").alias("t", "bucket"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.durable import exists
 from mnemoframe.functions.text import col
 
 # Formats that results depend on.
@@ -189,12 +190,13 @@ def tool_paths(tool_input: Column | str) -> Column:
 
 
 def first_json(spark: SparkSession, paths: Sequence[str], ddl: str) -> DataFrame:
-    """Rows of the first path that exists and parses (seeds, cases, flags); none gives an empty table."""
+    """Rows of the first path that exists and holds JSON only (seeds, cases, flags); none gives an empty table.
+
+    A path that is there but can't be read is an error.
+    """
     for path in paths:
-        try:
-            rows = spark.read.schema(ddl).option("multiLine", True).option("mode", "FAILFAST").json(path)
-            rows.limit(1).count()
-            return rows
-        except Exception:  # noqa: BLE001
-            continue
+        if exists(spark, path):
+            texts = spark.read.text(path, wholetext=True)
+            if texts.where(F.try_parse_json("value").isNull()).isEmpty():
+                return spark.read.schema(ddl).option("multiLine", True).json(path)
     return spark.createDataFrame([], ddl)

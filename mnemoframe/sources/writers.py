@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.durable import exists
 from mnemoframe.functions.text import col, slug
 from mnemoframe.operators.audits import incomplete
 from mnemoframe.sources.readers import FRONT_MATTER, comma_list, front_matter
@@ -115,11 +116,11 @@ def complete(files: DataFrame) -> DataFrame:
 
 
 def migrate(spark: SparkSession, path: str, steps: Sequence[tuple[str, Callable[[], int]]]) -> list[str]:
-    """Runs each named step once: those in the log at ``path`` are skipped; returns the names that ran."""
-    try:
-        done = {r["name"] for r in spark.read.json(path, schema="name string, rows long").select("name").collect()}
-    except Exception:  # noqa: BLE001
-        done = set()
+    """Runs each named step once: those in the log at ``path`` are skipped; returns the names that ran.
+
+    Without a log nothing ran yet; a log that can't be read is an error, as steps would run twice.
+    """
+    done = {r["name"] for r in spark.read.json(path, schema="name string, rows long").select("name").collect()} if exists(spark, path) else set()
     ran = []
     for name, step in steps:
         if name in done:

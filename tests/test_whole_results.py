@@ -1,7 +1,10 @@
 """Results that earlier versions cut short."""
 
+import pytest
+
 import __spark_entry__ as entry
-from mnemoframe.operators import fusion, graph, lexical
+from mnemoframe import durable
+from mnemoframe.operators import fusion, graph, lexical, state, vectors
 
 
 def test_duplicates_from_the_references_limit_on(spark, tmp_path):
@@ -43,3 +46,35 @@ def test_entities_of_many_words_and_other_letters(spark):
     entities = spark.createDataFrame([(n, n, None) for n in names], "id string, name string, aliases array<string>")
     asked = docs.selectExpr("doc_id AS query_id", "body AS query")
     assert {(r["query_id"], r["id"]) for r in graph.query_entities(asked, entities).collect()} == want
+
+
+def test_vectors_are_held_against_those_of_their_length(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 1.0, 0.0]), (5, []), (6, None)], "key long, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [1.0, 0.1, 0.0]), (4, None)], "query_id long, vector array<double>")
+    got = {(r["query_id"], r["key"]) for r in vectors.vector_topk(rows, asked, 1).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
+    assert {(r["a"], r["b"]) for r in vectors.close_pairs(rows, 0.7).collect()} == {(3, 4)}
+    assert vectors.vector_topk(rows, asked.limit(0), 1).collect() == [] and vectors.vector_topk(rows.limit(0), asked, 1).collect() == []
+
+
+def test_insert_or_ignore_takes_the_first_by_all_columns(spark):
+    table = spark.createDataFrame([("a", 9, "old")], "k string, n int, t string")
+    rows = spark.createDataFrame([("b", 2, "x"), ("b", 1, "z"), ("b", 1, "y"), ("a", 1, "new"), ("c", None, None), ("c", 1, "w")], "k string, n int, t string")
+    assert {tuple(r) for r in state.inserted(table, rows, ["k"]).collect()} == {("a", 9, "old"), ("b", 1, "y"), ("c", None, None)}
+
+
+def test_a_cluster_has_to_name_the_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError):
+        durable.shared_folder(Session())
