@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.durable import as_table
+from mnemoframe.durable import as_table, release
 
 #: A rank file of a public tokenizer.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -17,36 +19,70 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Aimed at rows in a block of a prefix sum.
 BLOCK_ROWS = 50_000
-#: Longer texts are counted in pieces of this length; the tokenizer's time grows faster than a run's length.
-PIECE = 1 << 20
+#: Longer texts are cut between pre-tokens, as the tokenizer's own splitting overflows on very long runs of white space.
+LONG = 1 << 16
 
 _ENCODING: dict[str, object] = {}
 
 
-def _encoding(path: str):
+def _encoding(path: str, content: bytes | None = None):
+    """The encoding of a rank file, made once in each process; ``content`` is the file's, where it can't be read here."""
     if path not in _ENCODING:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+        lines = (Path(path).read_bytes() if content is None else content).splitlines()
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         _ENCODING[path] = tiktoken.Encoding("rank-file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     return _ENCODING[path]
 
 
-def token_count(text: str, path: str = TOKENIZER) -> int:
+def token_count(text: str, path: str = TOKENIZER, long: int = LONG) -> int:
+    """Tokens of the whole text. Merges never cross pre-tokens, so that cutting between these changes nothing."""
     encoding = _encoding(path)
-    return sum(len(encoding.encode_ordinary(text[i : i + PIECE])) for i in range(0, len(text), PIECE))
+    if len(text) <= long:
+        return len(encoding.encode_ordinary(text))
+    single = lambda b, e: len(encoding._encode_single_piece(text[b:e].encode("utf-8", "replace")))
+    total = start = 0
+    spaces: list[tuple[int, int]] = []  # white space since the last other pre-token; how it splits depends on what follows
+    for token in _split().finditer(text):
+        begin, end = token.span()
+        blank = token.lastindex == 1
+        if end - begin > long:
+            total += len(encoding.encode_ordinary(text[start : spaces[0][0] if spaces else begin])) + sum(single(b, e) for b, e in spaces) + single(begin, end)
+            start, spaces = end, []
+        elif blank:
+            spaces.append((begin, end))
+        else:
+            if end - start > long:
+                total += len(encoding.encode_ordinary(text[start:end]))
+                start = end
+            spaces = []
+    return total + len(encoding.encode_ordinary(text[start:]))
+
+
+@functools.cache
+def _split():
+    """The tokenizer's pattern, with white space as it has it; group 1 is set where a pre-token is white space."""
+    import regex
+
+    words, blank, rest = SPLIT.rsplit("|", 2)
+    white = lambda p: p.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+    return regex.compile(white(f"{words}|({blank}|{rest})"))
 
 
 def with_tokens(documents: DataFrame, path: str = TOKENIZER, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``doc_id, source, tokens``: the source trimmed and lower-cased, the text's tokens counted.
 
-    A null or empty text has no tokens. Texts stay where they were read.
+    A null or empty text has no tokens. Texts stay where they were read. The rank file is read by
+    the driver and goes out with the tasks; it has about a megabyte.
     """
     label = F.lower(F.btrim(F.col(source)))
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), label.alias("source"), F.col(text).cast("string").alias("text"))
 
+    ranks = documents.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoding(path, ranks.value)
         for batch in batches:
             counts = [token_count(t.as_py() or "", path) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "source", "tokens"])
@@ -79,12 +115,13 @@ def weighted_mix(counted: DataFrame, targets: DataFrame, total_tokens: int | Non
 
     Sources are compared trimmed and lower-cased. Documents of unlisted or null sources, with a
     null id or without tokens aren't taken, nor are sources with a null or non-positive share;
-    null repeats mean one. A source listed twice has the sum of its shares and its largest repeats. Repeated
-    rows of a document are one. An empty side gives no rows.
+    null repeats mean one. A source listed twice has the sum of its shares and its largest repeats. A
+    document with several rows has the first by source and tokens. An empty side gives no rows.
 
     Scale: only ids and counts are shuffled, never texts. Running totals are built in blocks,
-    so that neither a source with a third of all rows nor the final sort is ever one task. The
-    targets are joined by whatever join their size allows.
+    so that neither a source with a third of all rows nor the final sort is ever one task. Of a source's
+    repeats only those are made that begin before the virtual time by which the budget is surely
+    spent, however many are allowed. The targets are joined by whatever join their size allows.
     """
     spark = counted.sparkSession
     targets = (
@@ -92,8 +129,9 @@ def weighted_mix(counted: DataFrame, targets: DataFrame, total_tokens: int | Non
         .where("source IS NOT NULL AND share > 0 AND NOT isnan(share) AND repeats > 0")
         .groupBy("source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats"))
     )
-    listed = counted.where("doc_id IS NOT NULL AND tokens > 0").dropDuplicates(["doc_id"]).join(targets, "source")
-    listed = as_table(listed.select("doc_id", "source", "tokens", "share", "repeats"), "mix-counts")
+    named = counted.where("doc_id IS NOT NULL AND tokens > 0 AND source IS NOT NULL").join(targets, "source")
+    one = named.groupBy("doc_id").agg(F.min(F.struct("source", "tokens", "share", "repeats")).alias("d"))
+    listed = as_table(one.select("doc_id", "d.*"), "mix-counts")
     rows, held = listed.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     total = held if total_tokens is None else int(total_tokens)
     if not rows or total <= 0:
@@ -102,12 +140,16 @@ def weighted_mix(counted: DataFrame, targets: DataFrame, total_tokens: int | Non
     key = F.xxhash64(F.lit(seed), "doc_id")
     shuffled = listed.withColumn("key", key).withColumn("block", F.least(F.floor((F.col("key").cast("double") / F.lit(2.0**64) + 0.5) * blocks), F.lit(blocks - 1)).cast("int"))
     once = _running(shuffled, ["source"], "block", ["key", "doc_id"], "tokens", "so_far")
-    whole = listed.groupBy("source").agg(F.sum("tokens").alias("whole"))
-    copies = once.join(whole, "source").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    sources = as_table(listed.groupBy("source").agg(F.first("share").alias("share"), F.first("repeats").alias("repeats"), F.sum("tokens").alias("whole"), F.max("tokens").alias("largest")), "mix-sources")
+    caps = [(r["share"], r["whole"] * r["repeats"], r["largest"]) for r in sources.toLocalIterator()]
+    near = _time_at([(share, most) for share, most, _ in caps], total)
+    # A source lags behind its share by less than its largest document.
+    spent = _time_at([(share, most) for share, most, _ in caps], total + sum(largest for _, _, largest in caps))
+    begun = F.least(F.col("repeats").cast("double"), F.floor(F.lit(spent * (1 + 1e-9)) * F.col("share") / F.col("whole")) + 1).cast("int")
+    copies = once.drop("share", "repeats").join(sources.select("source", "share", "whole", begun.alias("begun")), "source").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("begun"))))
     timed = copies.select("source", "doc_id", "repeat", "tokens", (((F.col("repeat") - 1) * F.col("whole") + F.col("so_far")) / F.col("share")).alias("position_key"))
     timed = as_table(timed, "mix-times")
-    caps = [(r["share"], r["whole"] * r["repeats"]) for r in listed.groupBy("source").agg(F.first("share").alias("share"), F.first("repeats").alias("repeats"), F.sum("tokens").alias("whole")).toLocalIterator()]
-    near = _time_at(caps, total)
+    release(listed, sources)
     parts = blocks * 4
     time = F.col("position_key") / F.lit(near)
     part = F.when(time < 1, F.floor(time * parts)).otherwise(parts + F.floor(F.log2(time) * 4096)).cast("long")
@@ -123,7 +165,7 @@ def weighted_mix(counted: DataFrame, targets: DataFrame, total_tokens: int | Non
 def _time_at(caps: list[tuple[float, int]], total: int) -> float:
     """The virtual time at which sources of these (share, most tokens) have given ``total`` together.
 
-    Only steers how the sort is split into parts. ``caps`` has a row for each listed source.
+    ``caps`` has a row for each listed source.
     """
     low, high = 0.0, max(most / share for share, most in caps)
     for _ in range(60):

@@ -65,3 +65,22 @@ def test_tokens_round_trip_and_odd_texts(spark):
     got = {r["doc_id"]: (r["source"], r["tokens"]) for r in with_tokens(df).collect()}
     assert got == {1: ("a", 0), 2: (None, 0), 3: ("b", token_count("one two"))}
     assert token_count("x" * 50_000) > 0
+
+
+def test_tokens_of_long_texts_are_those_of_the_whole_text():
+    encoding = mixing._encoding(mixing.TOKENIZER)
+    draw = random.Random(4)
+    parts = ["a", "b", "Z", "9", " ", "  ", "\n", "\r\n", "é", "猫", "'s", "'ll", ".", "!!", "\t", "word ", "\x1c", "\x85"]
+    for _ in range(300):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 80)))
+        assert {token_count(text, long=n) for n in (1, 3, 7)} == {len(encoding.encode_ordinary(text))}, repr(text)
+    text = "xyz " * 70_000
+    assert token_count(text) == len(encoding.encode_ordinary(text))
+    assert token_count(" " * 2_000_000 + "\n") > 0
+
+
+def test_many_repeats_are_only_made_as_far_as_the_budget_goes(spark):
+    rows = [(i, "a", 3) for i in range(10)] + [(100 + i, "b", 7) for i in range(5)] + [(3, "b", 9), (3, "a", 8)]
+    mix = weighted_mix(counted(spark, rows), targets(spark, [("a", 0.5, 10**9), ("b", 0.5, 1)]), 1_000).collect()
+    assert sum(r["tokens"] for r in mix if r["source"] == "b") == 35 and 1_000 - 8 <= sum(r["tokens"] for r in mix) <= 1_000
+    assert {(r["source"], r["tokens"]) for r in mix if r["doc_id"] == 3} == {("a", 3)}
