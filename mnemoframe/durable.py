@@ -27,9 +27,32 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _file_system(spark, path)
+    return store.exists(where)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host of its file system."""
+    store, where = _file_system(spark, path)
+    return store.makeQualified(where).toString()
+
+
+def entries_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    store, where = _file_system(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
+
+
+def deleted(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        store, where = _file_system(spark, path)
+        store.delete(where, True)
 
 
 def as_table(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -52,6 +75,4 @@ def release(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_mnemoframe_path", None)
         if path:
-            jvm = table.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            deleted(table.sparkSession, path)
