@@ -1,8 +1,12 @@
 import random
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.history import HashForest, depth_for, near_duplicates_of_history, repeated_records, word_classes, words_of
+from mnemoframe.llm import history
+from mnemoframe.llm.history import LEVEL_BITS, LEVELS, TREES, HashForest, depths_for, near_duplicates_of_history, recall_at, repeated_records, words_of
 
 
 def sets(seed, n):
@@ -42,29 +46,46 @@ def test_near_duplicates_reach_the_recall_and_are_all_true(spark):
     assert len(want) > 100 and len(set(got)) / len(want) >= 0.99
 
 
-def test_batches_one_by_one_find_what_one_forest_finds(spark):
-    rows = [(i, i % 3, " ".join(w)) for i, w in enumerate(sets(2, 150))]
-    df = spark.createDataFrame(rows, "id long, batch int, text string")
-    classes, members = word_classes(df, words_of("text"))
-    batch_of = {r["class"]: r["batch"] for r in members.groupBy("class").agg(F.min("batch").alias("batch")).collect()}
-    forest, found = HashForest(), set()
-    for b in range(3):
-        own = classes.where(F.col("class").isin([c for c, x in batch_of.items() if x == b]))
-        if forest.runs:
-            found |= {tuple(sorted(r)) for r in forest.candidates(HashForest.signed(own), 0.7).collect()}
-        forest.append(own)
-        if b == 1:
-            forest.merge()
-            assert len(forest.runs) == 1
-    whole = HashForest()
-    together = {tuple(sorted(r)) for r in whole.candidates(whole.append(classes), 0.7).collect()}
-    assert found == {p for p in together if batch_of[p[0]] != batch_of[p[1]]}
-
-
-def test_depth_widens_until_the_recall():
-    assert depth_for(0.7) == 8 and depth_for(0.5) < depth_for(0.6) <= 8 and depth_for(0.05) == 1
+def test_runs_are_kept_merged_and_found_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "FANOUT", 3)
+    rows = [(i, " ".join(w)) for i, w in enumerate(sets(2, 150))]
+    classes = spark.createDataFrame(rows, "class long, text string").select("class", words_of("text").alias("words")).cache()
+    found, largest = set(), 0
+    for b in range(10):
+        forest = HashForest(spark, "kept", str(tmp_path))  # opened anew for every batch
+        own = classes.where(F.col("class") % 10 == b)
+        run = forest.append(own, own.count())
+        found |= {tuple(r) for r in forest.candidates(run, 0.7).collect()}
+        forest.merge()
+        largest = max(largest, len(forest.runs()))
+    assert sum(r.keys for r in forest.runs()) == 150 * TREES and largest <= 6
+    whole = HashForest(spark, "whole", str(tmp_path))
+    together = {tuple(r) for r in whole.candidates(whole.append(classes, 150), 0.7).collect()}
+    assert found == together and all(a < b for a, b in found)
+    whole.drop()
+    assert whole.runs() == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 400), max_size=12), st.lists(st.integers(0, 400), max_size=12), st.sampled_from([1, 3, 1000]))
+def test_ranges_widen_to_all_keys_with_a_common_prefix(q, k, most):
+    # Keys that differ in the lowest two levels only.
+    scale = 1 << LEVEL_BITS
+    q, k = np.sort(np.array(q, np.int64) * 40), np.sort(np.array(k, np.int64) * 40)
+    old, history.PAIRS_PER_PASS = history.PAIRS_PER_PASS, most
+    try:
+        got = [(a, b) for i, j in history._located(q, k, [LEVELS, LEVELS - 1, LEVELS - 2]) for a, b in zip(i.tolist(), j.tolist())]
+    finally:
+        history.PAIRS_PER_PASS = old
+    want = {(i, j) for i, x in enumerate(q) for j, y in enumerate(k) if x // scale**2 == y // scale**2}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    assert depths_for(0.7) == [9, 8, 7, 6] and depths_for(0.99) == [9] and depths_for(0.0)[-1] == 1
     for s in (0.5, 0.6, 0.7, 0.9):
-        assert 1 - (1 - s ** depth_for(s)) ** 96 >= 0.99
+        depths = depths_for(s)
+        assert recall_at(depths[-1], s) >= history.RECALL and all(recall_at(d, s) < history.RECALL for d in depths[:-1])
 
 
 def test_repeated_records(spark):
