@@ -284,17 +284,15 @@ def near_duplicates_of_history(rows: DataFrame, id: str, batch: str, words: Colu
     members = as_table(rows.join(classes.select("class", "words"), "words").select("class", "id", "batch").distinct(), "word-members")
     sizes = {r["batch"]: r["count"] for r in classes.groupBy("batch").count().toLocalIterator()}
     forest = HashForest(spark, uuid.uuid4().hex)
-    candidates = []
+    met = f"{forest.root}/met"
     for b in sorted(sizes):
         run = forest.append(classes.where(F.col("batch") == b), sizes[b])
-        candidates.append(as_table(forest.candidates(run, similarity), "forest-pairs"))
+        forest.candidates(run, similarity).write.mode("append").parquet(met)
         forest.merge()
-    pairs = spark.createDataFrame([], "class bigint, other bigint")
-    for part in candidates:
-        pairs = pairs.unionByName(part)
+    pairs = spark.read.schema("class bigint, other bigint").parquet(met) if sizes else spark.createDataFrame([], "class bigint, other bigint")
     similar = as_table(_verified(pairs.distinct(), classes, similarity), "forest-similar")
     forest.drop()
-    release(*candidates, classes)
+    release(classes)
     repeated = members.groupBy("class").agg(F.min("batch").alias("lo"), F.max("batch").alias("hi")).where("lo < hi").select("class", F.col("class").alias("other"))
     a = members.withColumnsRenamed({"id": "a", "batch": "batch_a"})
     b = members.withColumnsRenamed({"class": "other", "id": "b", "batch": "batch_b"})

@@ -6,85 +6,117 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.durable import as_table
+from mnemoframe.durable import as_table, release
 
-#: Most items of a basket that are multiplied as one block; larger baskets are split into several.
+#: Most items of a basket that are one record of a block; larger baskets are split by item.
 BLOCK_ITEMS = 1024
-#: Baskets that need splitting, up to which their list goes to the workers as a whole.
-BROADCAST_BASKETS = 100_000
-#: Products that a worker adds up before it hands on the sums.
-PRODUCTS_PER_PASS = 1_000_000
-
-
-class _Gram:
-    """Sums of transpose-products of record blocks, as (item, item, count) of the upper triangle."""
-
-    def __init__(self) -> None:
-        self.left: list[np.ndarray] = []
-        self.right: list[np.ndarray] = []
-        self.size = 0
-
-    def within(self, matrix: np.ndarray) -> None:
-        """Records that have the same number of items, one a row."""
-        i, j = np.triu_indices(matrix.shape[1], 1)
-        step = max(1, PRODUCTS_PER_PASS // max(1, len(i)))
-        for lo in range(0, len(matrix), step):
-            self.add(matrix[lo : lo + step][:, i].ravel(), matrix[lo : lo + step][:, j].ravel())
-
-    def add(self, left: np.ndarray, right: np.ndarray) -> None:
-        self.left.append(np.minimum(left, right))
-        self.right.append(np.maximum(left, right))
-        self.size += len(left)
-
-    def full(self) -> bool:
-        return self.size >= PRODUCTS_PER_PASS
-
-    def drain(self) -> pa.RecordBatch:
-        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.left, self.right))
-        items, codes = np.unique(np.concatenate([left, right]), return_inverse=True)
-        pairs, counts = np.unique(codes[: len(left)] * max(1, len(items)) + codes[len(left) :], return_counts=True)
-        self.__init__()
-        a, b = (items[pairs // max(1, len(items))], items[pairs % max(1, len(items))]) if len(items) else (left, right)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(counts.astype(np.int64))], names=["a", "b", "n"])
-
-
-def _multiply_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    gram = _Gram()
-    for batch in batches:
-        lists = batch.column(0)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        items, sizes = lists.flatten().to_numpy(), np.diff(offsets)
-        offsets = offsets - offsets[0]
-        for size in np.unique(sizes[sizes > 1]):
-            starts = offsets[:-1][sizes == size]
-            step = max(1, PRODUCTS_PER_PASS // int(size * size))
-            for lo in range(0, len(starts), step):
-                gram.within(items[starts[lo : lo + step][:, None] + np.arange(size)])
-                if gram.full():
-                    yield gram.drain()
-    yield gram.drain()
-
-
-def _multiply_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    gram = _Gram()
-    for batch in batches:
-        for left, right in zip(batch.column(0), batch.column(1)):
-            left, right = left.values.to_numpy(), right.values.to_numpy()
-            gram.add(np.repeat(left, len(right)), np.tile(right, len(left)))
-            if gram.full():
-                yield gram.drain()
-    yield gram.drain()
+#: Products that are summed at a time; bounds a worker's memory.
+PRODUCTS_PER_PASS = 2_000_000
+#: Cells of a block's product up to which they are summed in a dense matrix.
+DENSE_CELLS = 4_000_000
+
+
+class BinaryBlock:
+    """A sparse binary matrix, records by items: the items of each record, one record after the other.
+
+    ``names`` are the items in order, ``columns`` their places for each entry, sorted within a record.
+    """
+
+    def __init__(self, items: np.ndarray, sizes: np.ndarray) -> None:
+        self.names, columns = np.unique(items, return_inverse=True)
+        self.ends = np.cumsum(sizes)
+        self.rows = np.repeat(np.arange(len(sizes)), sizes)
+        self.columns = columns[np.lexsort((columns, self.rows))]
+
+    def transposed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The transpose's entries in its order: item, and the entry's place in this block."""
+        place = np.argsort(self.columns, kind="stable")
+        return self.columns[place], place
+
+    def gram(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The transpose times the block, above the diagonal, as (item, item, records).
+
+        Row i of the product is the sum of the records that hold item i; of each only the items
+        after i are added, as the product is symmetric.
+        """
+        item, place = self.transposed()
+        after = self.ends[self.rows[place]] - place - 1
+        cells = _summed(np.repeat(item, after), self.columns[_ranges(place + 1, after)], len(self.names), len(self.names))
+        return self.names[cells[0]], self.names[cells[1]], cells[2]
+
+    def times(self, other: BinaryBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The transpose times another block of the same records, which has other items."""
+        item, place = self.transposed()
+        row = self.rows[place]
+        sizes = np.diff(other.ends, prepend=0)
+        cells = _summed(np.repeat(item, sizes[row]), other.columns[_ranges(other.ends[row] - sizes[row], sizes[row])], len(self.names), len(other.names))
+        return self.names[cells[0]], other.names[cells[1]], cells[2]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def _summed(i: np.ndarray, j: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of a matrix of ones at (i, j) that aren't zero, with their sums."""
+    cells = i.astype(np.int64) * width + j
+    if height * width <= DENSE_CELLS:
+        counts = np.bincount(cells, minlength=1)
+        cells = np.flatnonzero(counts)
+        counts = counts[cells]
+    else:
+        cells, counts = np.unique(cells, return_counts=True)
+    return cells // max(1, width), cells % max(1, width), counts
 
 
-def _dictionary(items: DataFrame) -> tuple[DataFrame, int]:
-    """``item, code`` and the seed under which all codes differ."""
+def _batch(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy().astype(np.int64))
+
+
+def _passes(products: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of records with at most PRODUCTS_PER_PASS products together; a larger record is one alone."""
+    upto, lo = np.cumsum(products), 0
+    while lo < len(products):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PRODUCTS_PER_PASS, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Products of the records of column 0 with themselves or, where column 1 isn't null, with those of column 1."""
+    for batch in batches:
+        alone = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        for own in (alone, ~alone):
+            part = batch.take(pa.array(np.flatnonzero(own)))
+            if not part.num_rows:
+                continue
+            items, sizes = _flat(part.column(0))
+            others, more = _flat(part.column(1)) if own is not alone else (None, None)
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            for lo, hi in _passes(sizes * (sizes if more is None else more)):
+                block = BinaryBlock(items[begin[lo] : begin[hi]], sizes[lo:hi])
+                if more is None:
+                    yield _batch(*block.gram())
+                else:
+                    at = np.concatenate([[0], np.cumsum(more)])
+                    yield _batch(*block.times(BinaryBlock(others[at[lo] : at[hi]], more[lo:hi])))
+
+
+def _coded(entries: DataFrame) -> tuple[DataFrame, Column]:
+    """``code, item, n`` of the entries' items, and the expression that codes an item, under which all codes differ."""
     for seed in range(42, 50):
-        coded = as_table(items.select("item", F.xxhash64("item", F.lit(seed)).alias("code")), "together-items")
-        if coded.groupBy("code").count().where("count > 1").isEmpty():
-            return coded, seed
+        code = F.xxhash64("item", F.lit(seed))
+        items = as_table(entries.groupBy(code.alias("code")).agg(F.min("item").alias("item"), F.max("item").alias("last"), F.count("*").alias("n")), "together-items")
+        if items.where("item <> last").isEmpty():
+            return items.select("code", "item", "n"), code
     raise RuntimeError("no seed gives every item a code of its own")
 
 
@@ -96,40 +128,46 @@ def items_together(rows: DataFrame, basket: list[str], item: str, least_together
     much more often than chance. item_a < item_b. A row with a null item or basket column
     doesn't count; a basket of one item counts in ``n_baskets``. No rows give no pairs.
 
-    Blocked Gram matrix: items become integers, baskets rows of a sparse binary matrix. Each
-    worker multiplies the transpose of its block of records with that block, sums equal cells and
-    hands on the sums, which are added up by cell. A basket of many items is split by item into
-    blocks that are multiplied pair by pair, so that it never is in one place. No item is left
-    out, however frequent.
+    Blocked Gram matrix: items become integers, baskets records of sparse binary blocks. Each
+    worker multiplies the transpose of a block of records with the block, and the products are
+    added up by cell. Items in fewer baskets than ``least_together`` can't be in a pair and are
+    left out of the blocks, all others are in, however frequent. A basket of many items is split by item into parts;
+    each two of its parts meet under a key of their own and are multiplied as two blocks, so that
+    such a basket never is in one place.
+
+    The rows are read once: distinct entries of basket (a hash of 128 bits) and item are written, and all
+    counts are taken from these.
     """
-    rows = rows.select(*[F.col(c).alias(f"basket_{i}") for i, c in enumerate(basket)], F.col(item).cast("string").alias("item"))
-    basket = [f"basket_{i}" for i in range(len(basket))]
-    rows = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*basket, "item"]))
-    codes, seed = _dictionary(rows.select("item").distinct())
-    coded = rows.select(*basket, F.xxhash64("item", F.lit(seed)).alias("code"))
-    large = rows.groupBy(*basket).count().where(F.col("count") > BLOCK_ITEMS)
-    large = as_table(large.select(*basket, F.ceil(F.col("count") / F.lit(BLOCK_ITEMS // 2)).cast("int").alias("parts")), "together-large")
-    n_large = large.count()
-    if n_large:
-        parts = F.broadcast(large) if n_large <= BROADCAST_BASKETS else large
-        coded = coded.join(parts, basket, "left").withColumn("part", F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("code"), F.col("parts"))))
+    keyed = rows.where(F.col(item).isNotNull())
+    for c in basket:
+        keyed = keyed.where(F.col(c).isNotNull())
+    entries = keyed.select(F.xxhash64(F.lit(1), *basket).alias("b1"), F.xxhash64(*basket, F.lit(2)).alias("b2"), F.col(item).cast("string").alias("item")).distinct()
+    entries = as_table(entries, "together-entries")
+    items, code = _coded(entries)
+    n_baskets = entries.select("b1", "b2").distinct().count()
+    frequent = items.where(F.col("n") >= least_together)
+    coded = entries.select("b1", "b2", code.alias("code")).join(frequent.select("code"), "code", "left_semi")
+    coded = as_table(coded, "together-coded")
+    sizes = coded.groupBy("b1", "b2").count().where("count > 1")
+    large = as_table(sizes.where(F.col("count") > BLOCK_ITEMS).select("b1", "b2", F.ceil(F.col("count") / F.lit(BLOCK_ITEMS // 2)).cast("int").alias("parts")), "together-large")
+    empty = F.lit(None).cast("array<bigint>")
+    if large.isEmpty():
+        blocks = coded.groupBy("b1", "b2").agg(F.collect_list("code").alias("left"), F.count("*").alias("k")).where("k > 1").select("left", empty.alias("right"))
     else:
-        coded = coded.withColumn("part", F.lit(-1))
-    blocks = coded.groupBy(*basket, F.col("part").cast("int").alias("part")).agg(F.collect_set("code").alias("items"))
-    kept = [F.when(F.col("part") >= 0, F.col(c)).alias(c) for c in basket]
-    blocks = as_table(blocks.select(*kept, "part", "items"), "together-blocks")
-    n_baskets = blocks.where("part < 0").count() + n_large
-    counts = blocks.select(F.explode("items").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-    gram = blocks.select("items").mapInArrow(_multiply_within, "a bigint, b bigint, n bigint")
-    if n_large:
-        split = blocks.where("part >= 0")
-        across = split.join(split.withColumnsRenamed({"part": "other", "items": "right"}), basket).where("part < other")
-        gram = gram.unionByName(across.select("items", "right").mapInArrow(_multiply_across, "a bigint, b bigint, n bigint"))
-    pairs = gram.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least_together)
-    named = counts.where(F.col("n") >= least_together).join(codes, "code")
+        small = coded.join(large, ["b1", "b2"], "left_anti").groupBy("b1", "b2").agg(F.collect_list("code").alias("left"), F.count("*").alias("k")).where("k > 1")
+        split = coded.join(large, ["b1", "b2"]).withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
+        split = as_table(split.groupBy("b1", "b2", "part").agg(F.collect_list("code").alias("codes"), F.first("parts").alias("parts")), "together-parts")
+        sent = split.select("b1", "b2", "part", "codes", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+        met = sent.groupBy("b1", "b2", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q")).agg(
+            F.max(F.when(F.col("part") <= F.col("with"), F.col("codes"))).alias("left"), F.max(F.when(F.col("part") > F.col("with"), F.col("codes"))).alias("right")
+        )
+        blocks = small.select("left", empty.alias("right")).unionByName(met.where("left IS NOT NULL AND (p = q OR right IS NOT NULL)").select("left", "right"))
+    gram = blocks.mapInArrow(_multiplied, "a bigint, b bigint, n bigint")
+    pairs = as_table(gram.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least_together), "together-pairs")
+    release(entries, coded, large)
     joined = pairs
     for side in ("a", "b"):
-        joined = joined.join(named.select(F.col("code").alias(side), F.col("item").alias(f"name_{side}"), F.col("n").alias(f"count_{side}")), side)
+        joined = joined.join(frequent.select(F.col("code").alias(side), F.col("item").alias(f"name_{side}"), F.col("n").alias(f"count_{side}")), side)
     in_order = F.col("name_a") < F.col("name_b")
     pick = lambda x, y, out: F.when(in_order, F.col(x)).otherwise(F.col(y)).alias(out)
     return joined.where(
