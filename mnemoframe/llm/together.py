@@ -15,6 +15,8 @@ from mnemoframe.durable import as_table, release
 BLOCK_ITEMS = 1024
 #: Products that are summed at a time; bounds a worker's memory.
 PRODUCTS_PER_PASS = 2_000_000
+#: Items, of eight bytes each, up to which the list of those that are frequent enough goes to the workers.
+BROADCAST_CODES = 500_000
 #: Cells of a block's product up to which they are summed in a dense matrix.
 DENSE_CELLS = 4_000_000
 
@@ -144,16 +146,17 @@ def items_together(rows: DataFrame, basket: list[str], item: str, least_together
     entries = keyed.select(F.xxhash64(F.lit(1), *basket).alias("b1"), F.xxhash64(*basket, F.lit(2)).alias("b2"), F.col(item).cast("string").alias("item")).distinct()
     entries = as_table(entries, "together-entries")
     items, code = _coded(entries)
-    n_baskets = entries.select("b1", "b2").distinct().count()
-    frequent = items.where(F.col("n") >= least_together)
-    coded = entries.select("b1", "b2", code.alias("code")).join(frequent.select("code"), "code", "left_semi")
-    coded = as_table(coded, "together-coded")
-    sizes = coded.groupBy("b1", "b2").count().where("count > 1")
-    large = as_table(sizes.where(F.col("count") > BLOCK_ITEMS).select("b1", "b2", F.ceil(F.col("count") / F.lit(BLOCK_ITEMS // 2)).cast("int").alias("parts")), "together-large")
+    frequent = as_table(items.where(F.col("n") >= least_together), "together-frequent")
+    known = frequent.select("code")
+    known = F.broadcast(known) if known.count() <= BROADCAST_CODES else known
+    coded = entries.select("b1", "b2", code.alias("code")).join(known, "code", "left_semi")
+    sizes = entries.groupBy("b1", "b2").agg(F.count("*").alias("k"))
+    n_baskets, n_large = sizes.agg(F.count("*"), F.count_if(F.col("k") > BLOCK_ITEMS)).first()
     empty = F.lit(None).cast("array<bigint>")
-    if large.isEmpty():
+    if not n_large:
         blocks = coded.groupBy("b1", "b2").agg(F.collect_list("code").alias("left"), F.count("*").alias("k")).where("k > 1").select("left", empty.alias("right"))
     else:
+        large = as_table(sizes.where(F.col("k") > BLOCK_ITEMS).select("b1", "b2", F.ceil(F.col("k") / F.lit(BLOCK_ITEMS // 2)).cast("int").alias("parts")), "together-large")
         small = coded.join(large, ["b1", "b2"], "left_anti").groupBy("b1", "b2").agg(F.collect_list("code").alias("left"), F.count("*").alias("k")).where("k > 1")
         split = coded.join(large, ["b1", "b2"]).withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
         split = as_table(split.groupBy("b1", "b2", "part").agg(F.collect_list("code").alias("codes"), F.first("parts").alias("parts")), "together-parts")
@@ -164,7 +167,7 @@ def items_together(rows: DataFrame, basket: list[str], item: str, least_together
         blocks = small.select("left", empty.alias("right")).unionByName(met.where("left IS NOT NULL AND (p = q OR right IS NOT NULL)").select("left", "right"))
     gram = blocks.mapInArrow(_multiplied, "a bigint, b bigint, n bigint")
     pairs = as_table(gram.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least_together), "together-pairs")
-    release(entries, coded, large)
+    release(entries)
     joined = pairs
     for side in ("a", "b"):
         joined = joined.join(frequent.select(F.col("code").alias(side), F.col("item").alias(f"name_{side}"), F.col("n").alias(f"count_{side}")), side)
