@@ -12,7 +12,7 @@ from mnemoframe.llm.history import near_duplicates_of_history, repeated_records,
 from mnemoframe.llm.leaks import leaked_items
 from mnemoframe.llm.mixing import mix_report, weighted_mix, with_tokens
 from mnemoframe.llm.nearest import latest_vectors, nearest_vectors
-from mnemoframe.llm.spans import document_spans, shared_amounts, sharing_pairs
+from mnemoframe.llm.spans import document_spans, shared_amounts, sharing_pairs, without_shared_spans
 from mnemoframe.llm.together import items_together
 from mnemoframe.plans.memory_logs import name_sql
 from mnemoframe.plans.tables import table
@@ -182,20 +182,38 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 #: Characters of a long span.
 SPAN = 240
 
+_SPANS_SQL = f"""
+t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= {SPAN}),
+g AS (SELECT doc_id, i, md5(substr(text, i + 1, {SPAN})) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - {SPAN - 1})) AS i FROM t)),
+shared AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+starts AS (SELECT DISTINCT doc_id, i FROM g JOIN shared USING (h)),
+islands AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM starts),
+spans AS (SELECT doc_id, min(i) AS "begin", max(i) + {SPAN} AS "end" FROM islands GROUP BY doc_id, island),
+chars AS (SELECT DISTINCT doc_id, unnest(range("begin", "end")) AS c FROM spans)
+"""
+
 
-@CATALOG.query("p9_found")
+@CATALOG.query("p9_found", f"WITH {_SPANS_SQL} SELECT DISTINCT x.doc_id AS doc_a, y.doc_id AS doc_b FROM (SELECT DISTINCT doc_id, h FROM g JOIN shared USING (h)) x JOIN (SELECT DISTINCT doc_id, h FROM g JOIN shared USING (h)) y ON x.h = y.h AND x.doc_id < y.doc_id")
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents with a long span in common."""
     return sharing_pairs(table(spark, folder, "documents"), SPAN)
 
 
-@CATALOG.query("p9_shared_amounts")
+@CATALOG.query("p9_shared_amounts", f"WITH {_SPANS_SQL} SELECT doc_id, max(length(text)) AS n_chars, any_value(stretches) AS stretches, any_value(n) AS shared_chars FROM documents JOIN (SELECT doc_id, count(*) AS stretches FROM spans GROUP BY doc_id) USING (doc_id) JOIN (SELECT doc_id, count(*) AS n FROM chars GROUP BY doc_id) USING (doc_id) GROUP BY doc_id")
 def p9_shared_amounts(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each document recurs verbatim in others."""
     return shared_amounts(table(spark, folder, "documents"), SPAN)
 
 
-@CATALOG.query("p9_spans")
+@CATALOG.query("p9_spans", f'WITH {_SPANS_SQL} SELECT doc_id, "begin", "end" FROM spans')
 def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
     """The stretches of each document that recur verbatim in others."""
     return document_spans(table(spark, folder, "documents"), SPAN)
+
+
+@CATALOG.query("p9_rest", f"WITH {_SPANS_SQL} SELECT doc_id, length(text) AS n_chars, length(text) - coalesce(n, 0) AS chars_left FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM chars GROUP BY doc_id) USING (doc_id) WHERE doc_id IS NOT NULL")
+def p9_rest(spark: SparkSession, folder: str) -> DataFrame:
+    """How long each document is, and how long without its stretches."""
+    docs = table(spark, folder, "documents")
+    left = without_shared_spans(docs, SPAN).select("doc_id", F.length("text").alias("chars_left"))
+    return docs.where("doc_id IS NOT NULL").select("doc_id", F.length("text").alias("n_chars")).join(left, "doc_id")

@@ -6,19 +6,24 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mnemoframe.llm import spans
-from mnemoframe.llm.spans import SuffixAutomaton, shared_amounts, sharing_pairs
+from mnemoframe.llm.spans import SuffixAutomaton, document_spans, shared_amounts, sharing_pairs, without_shared_spans
 
 
-def maximal(reference, text, least):
-    """All spans of the text that occur in a reference and can't be longer on either side."""
-    inside = lambda x: any(x in r for r in reference)
-    return [(i, j) for i in range(len(text)) for j in range(i + least, len(text) + 1) if inside(text[i:j]) and not (i and inside(text[i - 1 : j])) and not (j < len(text) and inside(text[i : j + 1]))]
-
-
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.text("ab", max_size=12), min_size=1, max_size=3), st.text("abc", max_size=18), st.integers(1, 4))
-def test_automaton_spans_are_the_maximal_ones(reference, text, least):
-    assert SuffixAutomaton(reference).spans(text, least) == maximal(reference, text, least)
+def test_windows_of_a_text_and_where_they_occur_first(reference, text, width):
+    joined, first, at = "".join(reference), {}, 0
+    for r in reference:
+        for i in range(len(r) - width + 1):
+            first.setdefault(r[i : i + width], at + i)
+        at += len(r)
+    got = {}
+    for begin, end, place in SuffixAutomaton(reference).windows(text, width):
+        for i in range(end - begin - width + 1):
+            assert begin + i not in got
+            got[begin + i] = place + i
+            assert joined[place + i : place + i + width] == text[begin + i : begin + i + width]
+    assert got == {i: first[text[i : i + width]] for i in range(len(text) - width + 1) if text[i : i + width] in first}
 
 
 def corpus():
@@ -47,7 +52,24 @@ def brute(docs, least):
     return pairs, amounts
 
 
-@pytest.mark.parametrize("settings_", [{}, {"CHARS_PER_PASS": 64, "PARTNERS_PER_SHARD": 2, "BROADCAST_PLACES": 0}])
+def stretches(docs, least):
+    grams = defaultdict(set)
+    for d, t in docs:
+        for i in range(len(t or "") - least + 1):
+            grams[t[i : i + least]].add(d)
+    out = set()
+    for d, t in dict(docs).items():
+        starts = [i for i in range(len(t or "") - least + 1) if len(grams[t[i : i + least]]) > 1]
+        for i in starts:
+            if i - 1 not in starts:
+                j = i
+                while j + 1 in starts:
+                    j += 1
+                out.add((d, i, j + least))
+    return out
+
+
+@pytest.mark.parametrize("settings_", [{}, {"CHARS_PER_PASS": 64, "TEXTS_PER_COPY": 2, "SHARD_CHARS": 30, "FILTER_BITS": 32768}])
 def test_pairs_and_amounts_equal_brute_force(spark, monkeypatch, settings_):
     for name, value in settings_.items():
         monkeypatch.setattr(spans, name, value)
@@ -58,6 +80,22 @@ def test_pairs_and_amounts_equal_brute_force(spark, monkeypatch, settings_):
     assert len(got) == len(set(got)) and set(got) == pairs
     rows = shared_amounts(df, 40).collect()
     assert {r["doc_id"]: r["shared_chars"] for r in rows} == amounts
+    found = [tuple(r) for r in document_spans(df, 40).collect()]
+    assert len(found) == len(set(found)) and set(found) == stretches(docs, 40)
+    covered = {d: {x for e, i, j in found if e == d for x in range(i, j)} for d, _ in docs}
+    left = {r["doc_id"]: r["text"] for r in without_shared_spans(df.distinct(), 40).collect()}
+    assert left == {d: t if t is None else "".join(c for x, c in enumerate(t) if x not in covered[d]) for d, t in docs}
+
+
+def test_a_passage_in_every_text_makes_a_row_a_text(spark):
+    draw = random.Random(2)
+    word = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9E00)) for _ in range(n))
+    common = word(60)
+    for n in (50, 200):
+        df = spark.createDataFrame([(i, word(80) + common + word(80)) for i in range(n)], "doc_id long, text string")
+        assert spans.shared_windows(df, 40).count() == n - 1
+        assert {(r["stretches"], r["shared_chars"]) for r in shared_amounts(df, 40).collect()} == {(1, 60)}
+    assert sharing_pairs(df, 40).count() == n * (n - 1) // 2
 
 
 def test_no_documents(spark):
