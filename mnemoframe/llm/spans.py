@@ -20,7 +20,7 @@ SHARD_CHARS = 20_000
 #: Characters of a reference that are added at a time.
 CHARS_PER_STEP = 1024
 #: Bits of the filter that goes to the workers, a power of two of at least 32768; the filter has an eighth as many bytes, however many texts there are.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 
 _BASE = 0xD6E8FEB86659FD93
 _MIX = 0x9E3779B97F4A7C15

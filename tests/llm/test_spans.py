@@ -92,7 +92,7 @@ def test_a_passage_in_every_text_makes_a_row_a_text(spark):
     word = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9E00)) for _ in range(n))
     common = word(60)
     for n in (50, 200):
-        df = spark.createDataFrame([(i, word(80) + common + word(80)) for i in range(n)], "doc_id long, text string")
+        df = spark.createDataFrame([(i, word(80) + chr(0x400 + i) + common + chr(0x600 + i) + word(80)) for i in range(n)], "doc_id long, text string")
         assert spans.shared_windows(df, 40).count() == n - 1
         assert {(r["stretches"], r["shared_chars"]) for r in shared_amounts(df, 40).collect()} == {(1, 60)}
     assert sharing_pairs(df, 40).count() == n * (n - 1) // 2
