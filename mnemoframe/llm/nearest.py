@@ -9,23 +9,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.durable import as_table
 
-#: Vectors on which all codebooks together are fitted, at most about so many.
-TRAINING_ROWS = 20_000
-#: Most centroids of a half.
-CENTROIDS = 256
-#: Vectors aimed at per pair of centroids.
-ROWS_PER_CELL = 4
+#: Vectors on which a model's codebooks are fitted, at most about so many, or so many a centroid if that is more.
+TRAINING_ROWS, ROWS_PER_CENTROID = 20_000, 32
+#: Vectors aimed at per pair of centroids, and most centroids of a half.
+ROWS_PER_CELL, CENTROIDS = 4, 2048
 #: A query's traversal ends when it has reached this many times the root of the model's rows, and at least LEAST_CANDIDATES.
-CANDIDATES_PER_ROOT, LEAST_CANDIDATES = 1.5, 200
-#: Entries aimed at per shard of cells, most shards of a model, and entries of a shard that are compared at a time.
-ROWS_PER_SHARD, SHARDS, ROWS_PER_BLOCK = 1000, 1024, 4096
-#: Queries that are compared with a block at a time.
-QUERIES_PER_PASS = 512
+CANDIDATES_PER_ROOT, LEAST_CANDIDATES = 6.0, 1000
+#: Models with fewer vectors, or with a smaller share of all, have one cell: all of their vectors are compared.
+LEAST_ROWS, LEAST_SHARE = 1000, 1e-4
+#: Entries of cells that lie in one shard.
+ROWS_PER_SHARD = 1000
+#: Nearest centroids of either half whose pairs are sorted for many queries at once, and those queries.
+SQUARE, QUERIES_PER_PASS = 48, 256
+#: Queries of neighbouring cells that are compared with their cells' entries at a time.
+QUERIES_PER_PRODUCT = 64
 
 
 def usable_vector(vector: Column | str, dim: Column | str) -> Column:
@@ -68,20 +71,24 @@ def _k_means(points: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 class MultiIndex:
     """An inverted multi-index of one model: a codebook for each half, and the cells' sizes and shards."""
 
-    dim: int
     first: np.ndarray
     second: np.ndarray
     sizes: np.ndarray | None = None
     shard: np.ndarray | None = None
-    blocks: np.ndarray | None = None
+    parts: np.ndarray | None = None
 
     @classmethod
     def fitted(cls, vectors: np.ndarray, rows: int) -> MultiIndex:
         """Codebooks from a sample; ``rows`` is how many vectors the model has in all."""
         unit = _unit(vectors).astype(np.float32)
         half = max(1, unit.shape[1] // 2)
-        k = int(min(CENTROIDS, max(1, 2 ** round(math.log2(max(1.0, rows / ROWS_PER_CELL)) / 2))))
-        return cls(unit.shape[1], _k_means(unit[:, :half], k), _k_means(unit[:, half:], k) if unit.shape[1] > half else np.zeros((1, 0), np.float32))
+        k = centroids_for(rows)
+        return cls(_k_means(unit[:, :half], k), _k_means(unit[:, half:], k) if unit.shape[1] > half else np.zeros((1, 0), np.float32))
+
+    @classmethod
+    def trivial(cls, dim: int) -> MultiIndex:
+        """One cell; all shards have all of it in parts."""
+        return cls(np.zeros((1, max(1, dim // 2)), np.float32), np.zeros((1, dim - max(1, dim // 2)), np.float32))
 
     def halves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of unit vectors to the centroids of either half."""
@@ -93,58 +100,98 @@ class MultiIndex:
         return a.argmin(1) * len(self.second) + b.argmin(1)
 
     def divide(self, sizes: np.ndarray) -> None:
-        """Lays the cells, which have these sizes, out in shards of neighbouring cells."""
+        """Lays the cells, which have these sizes, out in shards of neighbouring cells.
+
+        Centroids are grouped on either side, and cells are taken in the order of their pairs of groups.
+        A cell that is larger than a shard has several, its ``parts``.
+        """
         self.sizes = sizes
+        groups = max(1, round(math.sqrt(sizes.sum() / ROWS_PER_SHARD)))
+        of_first, of_second = (_distances(x, _k_means(x, groups)).argmin(1) for x in (self.first, self.second))
         full = np.flatnonzero(sizes)
-        centers = np.concatenate([self.first[full // len(self.second)], self.second[full % len(self.second)]], axis=1)
-        n = int(min(SHARDS, max(1, sizes.sum() // ROWS_PER_SHARD)))
-        self.shard = np.zeros(len(sizes), np.int32)
-        self.shard[full] = _distances(centers, _k_means(centers, n)).argmin(1)
-        self.blocks = -(-np.bincount(self.shard, weights=sizes, minlength=n).astype(np.int64) // ROWS_PER_BLOCK)
+        i, j = full // len(self.second), full % len(self.second)
+        full = full[np.lexsort((j, i, of_second[j], of_first[i]))]
+        before = np.cumsum(sizes[full]) - sizes[full]
+        self.shard, self.parts = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32)
+        self.shard[full] = before // ROWS_PER_SHARD
+        self.parts[full] = np.maximum(1, sizes[full] // ROWS_PER_SHARD)
 
     def candidates(self) -> int:
         """Entries that a traversal of this index reaches by default."""
         return max(LEAST_CANDIDATES, int(CANDIDATES_PER_ROOT * math.sqrt(self.sizes.sum())))
 
-    def traverse(self, a: np.ndarray, b: np.ndarray, candidates: int) -> set[int]:
-        """Shards of the cells that one query visits.
+    def traverse(self, a: np.ndarray, b: np.ndarray, candidates: int) -> list[int]:
+        """The cells with entries that one query visits.
 
         Pairs of centroids come in the order of their summed distance: a heap holds the frontier
         of the two sorted lists of halves. It ends when the visited cells have enough entries.
         """
-        width, sizes, shard = len(self.second), self.sizes, self.shard
+        width, sizes = len(self.second), self.sizes
         rows, columns = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
         da, db = a[rows].tolist(), b[columns].tolist()
         rows, columns = rows.tolist(), columns.tolist()
         heap, reached = [(da[0] + db[0], 0, 0)], 0
-        visited: set[int] = set()
+        visited: list[int] = []
         while heap and reached < candidates:
             _, i, j = heapq.heappop(heap)
             cell = rows[i] * width + columns[j]
             n = sizes[cell]
             if n:
                 reached += n
-                visited.add(shard[cell])
+                visited.append(cell)
             if j + 1 < len(columns):
                 heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
             if j == 0 and i + 1 < len(rows):
                 heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
         return visited
 
+    def traverse_all(self, a: np.ndarray, b: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) of what all queries visit, as :meth:`traverse` has it.
+
+        The frontier's next pairs are nearly always among those of the SQUARE nearest centroids of
+        either half, which are put in order for many queries at once. A query
+        whose traversal would leave that square is traversed by its own heap.
+        """
+        side_a, side_b = min(SQUARE, a.shape[1]), min(SQUARE, b.shape[1])
+        near_a, near_b = np.argsort(a, axis=1, kind="stable")[:, : side_a + 1], np.argsort(b, axis=1, kind="stable")[:, : side_b + 1]
+        da, db = np.take_along_axis(a, near_a, 1), np.take_along_axis(b, near_b, 1)
+        outside = np.full(len(a), np.inf)
+        if a.shape[1] > side_a:
+            outside = np.minimum(outside, da[:, side_a] + db[:, 0])
+        if b.shape[1] > side_b:
+            outside = np.minimum(outside, da[:, 0] + db[:, side_b])
+        sums = (da[:, :side_a, None] + db[:, None, :side_b]).reshape(len(a), -1)
+        cells = (near_a[:, :side_a, None] * len(self.second) + near_b[:, None, :side_b]).reshape(len(a), -1)
+        order = np.argsort(sums, axis=1, kind="stable")
+        cells, sums = np.take_along_axis(cells, order, 1), np.take_along_axis(sums, order, 1)
+        sizes = self.sizes[cells]
+        reached = np.cumsum(sizes, axis=1)
+        taken = reached - sizes < candidates
+        leaves = ((sums >= outside[:, None]) & taken).any(axis=1) | ((reached[:, -1] < candidates) & np.isfinite(outside))
+        query, at = np.nonzero(taken & (sizes > 0) & ~leaves[:, None])
+        found = [(query, cells[query, at])]
+        for q in np.flatnonzero(leaves).tolist():
+            own = np.array(self.traverse(a[q], b[q], candidates), np.int64)
+            found.append((np.full(len(own), q), own))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def centroids_for(rows: int) -> int:
+    """Centroids of a half: a power of two that grows with the root of the rows, CENTROIDS at most."""
+    return int(min(CENTROIDS, max(1, 2 ** round(math.log2(max(1.0, rows / ROWS_PER_CELL)) / 2))))
+
 
 def _fit(classes: DataFrame) -> dict[str, MultiIndex]:
-    """A multi-index for each model, from a sample of bounded size."""
-    counts = {r["model"]: r["count"] for r in classes.groupBy("model").count().toLocalIterator()}
-    total = sum(counts.values())
-    step = max(1, total // TRAINING_ROWS)
-    sample: dict[str, list] = {}
-    for r in classes.where(F.pmod(F.xxhash64("class"), F.lit(step)) == 0).select("model", "vector").toLocalIterator():
-        sample.setdefault(r["model"], []).append(r["vector"])
-    missing = [m for m in counts if m not in sample]
-    if missing:  # models with fewer vectors than the step
-        for r in classes.where(F.col("model").isin(missing)).groupBy("model").agg(F.min_by("vector", "class").alias("vector")).toLocalIterator():
-            sample[r["model"]] = [r["vector"]]
-    return {model: MultiIndex.fitted(np.array(vectors, np.float32), counts[model]) for model, vectors in sample.items()}
+    """A multi-index for each model that isn't small, from a sample of bounded size. At most 1 / LEAST_SHARE models have one."""
+    total = classes.count()
+    counts = classes.groupBy("model").count().where(F.col("count") >= max(LEAST_ROWS, LEAST_SHARE * total))
+    indexes = {}
+    for r in counts.toLocalIterator():
+        step = max(1, r["count"] // max(TRAINING_ROWS, ROWS_PER_CENTROID * centroids_for(r["count"])))
+        sample = classes.where((F.col("model") == r["model"]) & (F.pmod(F.xxhash64("class"), F.lit(step)) == 0)).select("vector").toArrow()
+        if sample.num_rows:
+            indexes[r["model"]] = MultiIndex.fitted(_matrix(sample.column(0).combine_chunks()), r["count"])
+    return indexes
 
 
 def _by_model(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
@@ -155,86 +202,125 @@ def _by_model(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
         yield model, np.flatnonzero(indices == code)
 
 
-def _with_cells(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex]) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cells = np.zeros(batch.num_rows, np.int32)
+        cells = np.zeros(batch.num_rows, np.int64)
         for model, rows in _by_model(batch):
-            unit = _unit(_matrix(batch.column(2).take(pa.array(rows)))).astype(np.float32)
-            cells[rows] = indexes[model].cells(unit)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cells)], names=["model", "class", "vector", "cell"])
+            if model in indexes:
+                cells[rows] = indexes[model].cells(_unit(_matrix(batch.column(1).take(pa.array(rows)))).astype(np.float32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells)], names=["model", "cell"])
+
+
+_ROUTED = "model string, shard int, kind int, cell bigint, class bigint, vector array<float>, cells array<bigint>"
 
 
 def _routed(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex], candidates: int | None) -> Iterator[pa.RecordBatch]:
-    """Each vector as an entry of its cell's shard (kind 0) and as a query to the shards it visits (kind 1)."""
+    """Each vector as an entry of its cell's shard (kind 0) and as a query to the shards of the cells it visits (kind 1)."""
     for batch in batches:
-        row, shard, block, kind = [], [], [], []
-        cells, classes = batch.column(3).to_numpy(), batch.column(1).to_numpy()
         for model, rows in _by_model(batch):
-            index = indexes[model]
-            unit = _unit(_matrix(batch.column(2).take(pa.array(rows)))).astype(np.float32)
-            a, b = index.halves(unit)
-            enough = candidates or index.candidates()
-            for k, r in enumerate(rows.tolist()):
-                own = int(index.shard[cells[r]])
-                row.append(r), shard.append(own), block.append(int(_scattered(int(classes[r])) % index.blocks[own])), kind.append(0)
-                for s in index.traverse(a[k], b[k], enough):
-                    for part in range(index.blocks[s]):
-                        row.append(r), shard.append(int(s)), block.append(part), kind.append(1)
-        at = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), pa.array(shard, pa.int32()), pa.array(block, pa.int32()), pa.array(kind, pa.int32()), batch.column(1).take(at), batch.column(2).take(at)],
-            names=["model", "shard", "block", "kind", "class", "vector"],
-        )
-
-
-def _scattered(n: int) -> int:
-    return (n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 33
+            for lo in range(0, len(rows), QUERIES_PER_PASS):
+                at = rows[lo : lo + QUERIES_PER_PASS]
+                unit = _unit(_matrix(batch.column(2).take(pa.array(at)))).astype(np.float32)
+                index = indexes.get(model) or MultiIndex.trivial(unit.shape[1])
+                if index.sizes is None:
+                    index.sizes, index.shard, index.parts = np.ones(1, np.int64), np.zeros(1, np.int32), np.ones(1, np.int32)
+                a, b = index.halves(unit)
+                own = a.argmin(1) * len(index.second) + b.argmin(1)
+                spread = _scattered(batch.column(1).to_numpy()[at])
+                query, cell = index.traverse_all(a, b, candidates or index.candidates())
+                shard = index.shard[cell]
+                parts = index.parts[cell]
+                query, cell, shard = np.repeat(query, parts), np.repeat(cell, parts), np.repeat(shard, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                order = np.lexsort((cell, shard, query))
+                query, cell, shard = query[order], cell[order], shard[order]
+                new = np.ones(len(query), bool)
+                new[1:] = (query[1:] != query[:-1]) | (shard[1:] != shard[:-1])
+                first = np.flatnonzero(new)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(at), np.int64), first, [len(cell)]]).astype(np.int32)), pa.array(cell))
+                pick = pa.array(at[np.concatenate([np.arange(len(at)), query[first]])])
+                kind = np.concatenate([np.zeros(len(at), np.int32), np.ones(len(first), np.int32)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pick), pa.array(np.concatenate([index.shard[own] + spread % index.parts[own], shard[first]]).astype(np.int32)), pa.array(kind),
+                        pa.array(np.concatenate([own, own[query[first]]])), batch.column(1).take(pick), batch.column(2).take(pick), lists,
+                    ],
+                    names=["model", "shard", "kind", "cell", "class", "vector", "cells"],
+                )
+
+
+def _scattered(n: np.ndarray) -> np.ndarray:
+    return ((n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+
+
+class _Shard:
+    """The entries of a shard in the order of their cells."""
+
+    def __init__(self, unit: np.ndarray, classes: np.ndarray, cells: np.ndarray) -> None:
+        self.unit, self.classes = unit, classes
+        self.coarse = unit.astype(np.float32)
+        self.cells, self.begin, self.count = np.unique(cells, return_index=True, return_counts=True)
+
+    def nearest(self, unit: np.ndarray, own: np.ndarray, cells: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``class, other, similarity``: for each query the k nearest entries of its cells, and those tied with the last.
+
+        The entries of all cells that the queries visit are multiplied with all of them in single
+        precision; what isn't in a query's own cells is left out. The nearest are compared in double precision.
+        """
+        of = np.repeat(np.arange(len(own)), sizes)
+        there = np.searchsorted(self.cells, cells)
+        there = np.minimum(there, len(self.cells) - 1)
+        real = self.cells[there] == cells
+        of, there = of[real], there[real]
+        wanted = np.unique(there)
+        counts = self.count[wanted]
+        entry = np.repeat(self.begin[wanted] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        visits = np.zeros((len(own), len(wanted)), bool)
+        visits[of, np.searchsorted(wanted, there)] = True
+        scores = unit.astype(np.float32) @ self.coarse[entry].T
+        scores[~np.repeat(visits, counts, axis=1)] = -np.inf
+        scores[self.classes[entry][None, :] == own[:, None]] = -np.inf
+        if not scores.shape[1]:
+            return own[:0], own[:0], np.zeros(0)
+        last = scores.shape[1] - min(k, scores.shape[1])
+        margin = 4e-7 * math.sqrt(unit.shape[1])
+        q, e = np.nonzero((scores >= np.partition(scores, last, axis=1)[:, last : last + 1] - margin) & np.isfinite(scores))
+        exact = np.einsum("nd,nd->n", unit[q], self.unit[entry[e]])
+        return own[q], self.classes[entry[e]], np.round(np.minimum(exact, 1.0), 12)
 
 
 def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard and block, entries before queries; each query's nearest entries go out.
-
-    The nearest few more than k are picked in single precision and ranked anew in double.
-    """
-    key, entries, ids, index = None, [], [], None
+    """Rows come sorted by model, shard, kind and cell, entries before queries; each query's nearest entries go out."""
+    key, entries, shard = None, [], None
     for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-        kinds, classes = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-        change = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1] or kinds[i] != kinds[i - 1]] + [len(keys)]
-        of, to, similarity = [], [], []
-        for lo, hi in zip(change, change[1:]):
-            if keys[lo] != key:
-                key, entries, ids, index = keys[lo], [], [], None
-            unit = _unit(_matrix(batch.column(5).slice(lo, hi - lo)))
+        models, shards, kinds = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        change = np.flatnonzero((np.diff(models) != 0) | (np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
+        bounds = [0, *change.tolist(), batch.num_rows] if batch.num_rows else []
+        out = []
+        for lo, hi in zip(bounds, bounds[1:]):
+            part = batch.slice(lo, hi - lo)
+            name = (part.column(0)[0].as_py(), int(shards[lo]))
+            if name != key:
+                key, entries, shard = name, [], None
+            unit = _unit(_matrix(part.column(5)))
             if kinds[lo] == 0:
-                entries.append(unit)
-                ids.append(classes[lo:hi])
+                entries.append((unit, part.column(4).to_numpy(), part.column(3).to_numpy()))
+                continue
+            if not entries:
                 continue
-            if index is None:
-                if not entries:
-                    continue
-                index, names = np.concatenate(entries), np.concatenate(ids)
-                coarse = index.astype(np.float32).T.copy()
-            for at in range(0, hi - lo, QUERIES_PER_PASS):
-                query, own = unit[at : at + QUERIES_PER_PASS], classes[lo + at : min(hi, lo + at + QUERIES_PER_PASS)]
-                scores = query.astype(np.float32) @ coarse
-                most = min(scores.shape[1], k + 8)
-                near = np.argpartition(scores, scores.shape[1] - most, axis=1)[:, -most:]
-                exact = np.einsum("qd,qed->qe", query, index[near])
-                exact[names[near] == own[:, None]] = -np.inf
-                best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(exact, best, 1)
-                found = np.take_along_axis(names[near], best, 1)
-                real = np.isfinite(score)
-                of.append(np.repeat(own, real.sum(1)))
-                to.append(found[real])
-                similarity.append(np.minimum(score[real], 1.0))
-        if of:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (of, to, similarity)], names=["class", "other", "similarity"])
+            if shard is None:
+                shard = _Shard(*(np.concatenate(x) for x in zip(*entries)))
+            own, lists = part.column(4).to_numpy(), part.column(6)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            cells, sizes, ends = lists.flatten().to_numpy(), np.diff(ends), ends - ends[0]
+            for at in range(0, len(own), QUERIES_PER_PRODUCT):
+                to = min(len(own), at + QUERIES_PER_PRODUCT)
+                out.append(shard.nearest(unit[at:to], own[at:to], cells[ends[at] : ends[to]], sizes[at:to], k))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["class", "other", "similarity"])
 
 
 def nearest_classes(classes: DataFrame, k: int, candidates: int | None = None) -> DataFrame:
-    """``class, other, similarity``: for each class of equal vectors the k most similar others found.
+    """``class, other, similarity``: for each class the k most similar others of each shard it visits, and those tied with the last.
 
     ``classes`` has ``model, class bigint, vector``; only vectors of one model are compared,
     and all of a model have one length.
@@ -242,41 +328,72 @@ def nearest_classes(classes: DataFrame, k: int, candidates: int | None = None) -
     spark = classes.sparkSession
     indexes = _fit(classes)
     codebooks = spark.sparkContext.broadcast(indexes)
-    placed = as_table(classes.select("model", "class", "vector").mapInArrow(lambda it: _with_cells(it, codebooks.value), "model string, class bigint, vector array<float>, cell int"), "index-cells")
+    cells = classes.select("model", "vector").mapInArrow(lambda it: _cells(it, codebooks.value), "model string, cell bigint")
     sizes = {model: np.zeros(len(x.first) * len(x.second), np.int64) for model, x in indexes.items()}
-    for r in placed.groupBy("model", "cell").count().toLocalIterator():
+    for r in cells.groupBy("model", "cell").count().where(F.col("model").isin(list(indexes) or [""])).toLocalIterator():
         sizes[r["model"]][r["cell"]] = r["count"]
     for model, index in indexes.items():
         index.divide(sizes[model])
     laid_out = spark.sparkContext.broadcast(indexes)
-    routed = placed.mapInArrow(lambda it: _routed(it, laid_out.value, candidates), "model string, shard int, block int, kind int, class bigint, vector array<float>")
-    sorted_ = routed.repartition("model", "shard", "block").sortWithinPartitions("model", "shard", "block", "kind")
+    routed = classes.select("model", "class", "vector").mapInArrow(lambda it: _routed(it, laid_out.value, candidates), _ROUTED)
+    sorted_ = routed.repartition("model", "shard").sortWithinPartitions("model", "shard", "kind", "cell")
     return sorted_.mapInArrow(lambda it: _ranked(it, k), "class bigint, other bigint, similarity double")
 
 
+def _directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds two hashes of a vector's direction: vectors that are positive multiples by powers of two have equal ones."""
+    for batch in batches:
+        hashes = np.zeros((2, batch.num_rows), np.uint64)
+        sizes = np.diff(batch.column(2).offsets.to_numpy())
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            matrix = _matrix(batch.column(2).take(pa.array(at))).astype(np.float64)
+            bits = (matrix / np.abs(matrix).max(axis=1, keepdims=True) + 0.0).view(np.uint64)
+            for i in range(2):
+                draw = np.random.default_rng(100 + i)
+                mixed = (bits ^ (bits >> np.uint64(29))) * (draw.integers(1 << 62, 1 << 63, n, np.uint64) | np.uint64(1))
+                hashes[i, at] = ((mixed ^ (mixed >> np.uint64(32))) * (draw.integers(1 << 62, 1 << 63, n, np.uint64) | np.uint64(1))).sum(axis=1, dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(h.view(np.int64)) for h in hashes)], names=["id", "model", "vector", "h1", "h2"])
+
+
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by model, direction and id: numbers the directions, and the ids of each; the first keeps its vector."""
+    number, place, before = (TaskContext.get().partitionId() << 40) - 1, 0, None
+    for batch in batches:
+        keys = list(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()))
+        classes, places = [], []
+        for key in keys:
+            number, place = (number, place + 1) if key == before else (number + 1, 1)
+            before = key
+            classes.append(number), places.append(place)
+        vectors = batch.column(2).take(pa.array(np.arange(batch.num_rows), mask=np.array(places) > 1))
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(classes, pa.int64()), pa.array(places, pa.int64()), batch.column(0), vectors], names=["model", "class", "n", "id", "vector"])
+
+
 def nearest_vectors(rows: DataFrame, id: str, model: str, vector: str, k: int = 5, candidates: int | None = None) -> DataFrame:
     """``id, other, similarity, rank``: the k most similar ids of the same model for every id.
 
-    Similarity is the cosine; on ties the alphabetically first id comes first. ``rows`` has one
-    usable vector (:func:`usable_vector`) per id, all of a model with one length; null ids or
+    Similarity is the cosine to twelve places; on ties the alphabetically first id comes first. ``rows`` has one
+    usable vector (:func:`usable_vector`) per id; vectors of one model but different lengths are never compared. Null ids or
     models don't count. A model with one id has no rows.
 
     Inverted multi-index: both halves of the unit vectors are quantised separately, the
     codebooks being fitted on a sample of TRAINING_ROWS; every vector is then indexed. For each
     query the pairs of centroids are traversed in the order of their summed distance with a
-    heap, until their cells hold ``candidates`` entries. Cells lie in shards of neighbouring
-    cells, and the visited shards are reranked by exact cosine. Equal vectors are one class in
-    the index, of which the first k + 1 ids are kept, as no list needs more; large
-    shards are split into blocks. The codebooks, sizes and shards that go to the workers have at most
-    CENTROIDS squared cells a model.
+    heap, until their cells hold ``candidates`` entries. Just the entries of these cells are reranked by
+    exact cosine. Cells lie in shards of neighbouring cells, to which the queries go; a cell
+    that is too large for a shard has several. Centroids grow with the root of a model's
+    vectors, shards with their number. Vectors of one direction are one class in
+    the index, of which the first k + 1 ids are kept, as no list needs more. What goes to the driver and to the
+    workers is the cells' sizes and shards, at most CENTROIDS squared a model.
     """
     rows = rows.select(F.col(id).cast("string").alias("id"), F.col(model).cast("string").alias("model"), F.col(vector).cast("array<float>").alias("vector")).where("id IS NOT NULL AND model IS NOT NULL")
-    distinct = rows.select("model", "vector").distinct().withColumn("class", F.monotonically_increasing_id())
-    classes = as_table(distinct.select("model", "class", "vector"), "vector-classes")
-    members = as_table(rows.join(classes, ["model", "vector"]).select("class", "id"), "vector-members")
-    first = Window.partitionBy("class").orderBy("id")
-    heads = members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("class", "id")
-    found = nearest_classes(classes, k, candidates)
+    named = rows.withColumn("model", F.concat_ws("\x1f", "model", F.size("vector").cast("string"))).mapInArrow(_directions, "id string, model string, vector array<float>, h1 bigint, h2 bigint")
+    ordered = named.repartition("model", "h1", "h2").sortWithinPartitions("model", "h1", "h2", "id")
+    table = as_table(ordered.mapInArrow(_classed, "model string, class bigint, n bigint, id string, vector array<float>"), "vector-classes")
+    members = table.select("class", "id")
+    heads = table.where(F.col("n") <= k + 1).select("class", "id")
+    found = nearest_classes(table.where("n = 1").select("model", "class", "vector"), k, candidates)
     # Classes tied at the end of the list may hold earlier ids: all of them stay until ids are known.
     ranked = found.withColumn("n", F.rank().over(Window.partitionBy("class").orderBy(F.desc("similarity")))).where(F.col("n") <= k).drop("n")
     own = heads.select("class", F.col("id").alias("other_id"), F.lit(1.0).alias("similarity"))

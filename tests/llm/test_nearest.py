@@ -41,10 +41,10 @@ def test_all_lists_are_exact_where_every_cell_is_visited(spark):
         assert np.allclose([s for _, s in got[i]], [s for _, s in v])
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_recall_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(nearest, "ROWS_PER_SHARD", 40)
-    monkeypatch.setattr(nearest, "ROWS_PER_BLOCK", block)
+@pytest.mark.parametrize("shard", [1000, 40])
+def test_recall_against_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(nearest, "ROWS_PER_SHARD", shard)
+    monkeypatch.setattr(nearest, "LEAST_ROWS", 100)
     rows = [(f"f{i:04d}", "m", v) for i, v in enumerate(clustered(900, 24, 2))]
     df = spark.createDataFrame(rows, "id string, model string, vector array<float>")
     found = {(r["id"], r["other"]) for r in nearest_vectors(df, "id", "model", "vector", 5, candidates=120).collect()}
@@ -65,11 +65,44 @@ def test_few_and_no_rows(spark):
     assert nearest_vectors(df.limit(0), "id", "model", "vector").collect() == []
 
 
-def test_traversal_visits_cells_by_summed_distance():
-    index = nearest.MultiIndex(2, np.zeros((3, 1), np.float32), np.zeros((3, 1), np.float32))
-    index.sizes = np.ones(9, np.int64)
-    index.shard = np.arange(9, dtype=np.int32)
-    a, b = np.array([0.3, 0.1, 0.9]), np.array([0.2, 0.5, 0.0])
-    order = np.argsort((a[:, None] + b[None, :]).ravel(), kind="stable")
-    for n in range(1, 10):
-        assert index.traverse(a, b, n) == set(order[:n].tolist())
+def test_traversal_visits_cells_by_summed_distance(monkeypatch):
+    draw = np.random.default_rng(5)
+    index = nearest.MultiIndex(np.zeros((9, 1), np.float32), np.zeros((7, 1), np.float32))
+    index.sizes = draw.integers(0, 3, 63)
+    a, b = draw.random((40, 9)).astype(np.float32), draw.random((40, 7)).astype(np.float32)
+    for side in (2, 5, 48):
+        monkeypatch.setattr(nearest, "SQUARE", side)
+        for n in (1, 4, 20, 1000):
+            query, cell = index.traverse_all(a, b, n)
+            for q in range(40):
+                order = np.argsort((a[q][:, None] + b[q][None, :]).ravel(), kind="stable")
+                upto = np.cumsum(index.sizes[order])
+                want = {c for c, s in zip(order.tolist(), (upto - index.sizes[order]).tolist()) if s < n and index.sizes[c]}
+                assert set(index.traverse(a[q], b[q], n)) == want == set(cell[query == q].tolist())
+
+
+def test_ties_go_by_id_over_scaled_vectors_and_different_directions(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAST_ROWS", 4)
+    monkeypatch.setattr(nearest, "ROWS_PER_SHARD", 3)
+    direction = [0.25, -1.0, 0.5, 3.0]
+    rows = [(f"s{i:02d}", "m", [x * 2.0**e for x in direction]) for i, e in enumerate(range(-15, 15))]
+    # Eight directions with equal cosines to "z": signs of the last three.
+    rows += [("z", "x", [1.0, 0.0, 0.0, 0.0])] + [(f"t{i}", "x", [1.0, *((1.0 if i >> j & 1 else -1.0) for j in range(3))]) for i in (5, 2, 7, 0, 6, 1, 4, 3)]
+    rows += [("short", "x", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, model string, vector array<float>")
+    got = {}
+    for r in nearest_vectors(df, "id", "model", "vector", 5, candidates=10_000).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["other"])
+    names = [f"s{i:02d}" for i in range(30)]
+    assert all(got[n] == [x for x in names if x != n][:5] for n in names)
+    assert got["z"] == ["t0", "t1", "t2", "t3", "t4"] and "short" not in got
+
+
+def test_a_cell_larger_than_a_shard_is_split(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "ROWS_PER_SHARD", 10)
+    monkeypatch.setattr(nearest, "LEAST_ROWS", 10)
+    draw = np.random.default_rng(3)
+    rows = [(f"f{i:03d}", "m", (np.ones(6) + 1e-3 * draw.standard_normal(6)).astype(np.float32).tolist()) for i in range(150)] + [(f"g{i:03d}", "m", draw.standard_normal(6).astype(np.float32).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, model string, vector array<float>")
+    found = {(r["id"], r["other"]) for r in nearest_vectors(df, "id", "model", "vector", 3, candidates=10_000).collect()}
+    assert found == {(i, j) for i, v in brute(rows, 3).items() for j, _ in v}
