@@ -18,15 +18,17 @@ from mnemoframe.durable import as_table
 #: Vectors on which a model's codebooks are fitted, at most about so many, or so many a centroid if that is more.
 TRAINING_ROWS, ROWS_PER_CENTROID = 20_000, 32
 #: Vectors aimed at per pair of centroids, and most centroids of a half.
-ROWS_PER_CELL, CENTROIDS = 4, 2048
+ROWS_PER_CELL, CENTROIDS = 1, 2048
 #: A query's traversal ends when it has reached this many times the root of the model's rows, and at least LEAST_CANDIDATES.
-CANDIDATES_PER_ROOT, LEAST_CANDIDATES = 6.0, 1000
+CANDIDATES_PER_ROOT, LEAST_CANDIDATES = 4.0, 1000
 #: Models with fewer vectors, or with a smaller share of all, have one cell: all of their vectors are compared.
 LEAST_ROWS, LEAST_SHARE = 1000, 1e-4
 #: Entries of cells that lie in one shard.
 ROWS_PER_SHARD = 1000
-#: Nearest centroids of either half whose pairs are sorted for many queries at once, and those queries.
-SQUARE, QUERIES_PER_PASS = 48, 256
+#: Most groups of neighbouring cells.
+GROUPS = 256
+#: Cells with entries up to which their order is found for so many queries at once.
+SORTED_CELLS, QUERIES_PER_PASS = 8192, 256
 #: Queries of neighbouring cells that are compared with their cells' entries at a time.
 QUERIES_PER_PRODUCT = 64
 
@@ -76,6 +78,7 @@ class MultiIndex:
     sizes: np.ndarray | None = None
     shard: np.ndarray | None = None
     parts: np.ndarray | None = None
+    full: np.ndarray | None = None
 
     @classmethod
     def fitted(cls, vectors: np.ndarray, rows: int) -> MultiIndex:
@@ -102,19 +105,23 @@ class MultiIndex:
     def divide(self, sizes: np.ndarray) -> None:
         """Lays the cells, which have these sizes, out in shards of neighbouring cells.
 
-        Centroids are grouped on either side, and cells are taken in the order of their pairs of groups.
-        A cell that is larger than a shard has several, its ``parts``.
+        Cells are grouped by their centroids' distances; a group that is too large for a shard is cut in the order of its
+        cells, and a cell that is larger than a shard has several, its ``parts``.
         """
-        self.sizes = sizes
-        groups = max(1, round(math.sqrt(sizes.sum() / ROWS_PER_SHARD)))
-        of_first, of_second = (_distances(x, _k_means(x, groups)).argmin(1) for x in (self.first, self.second))
-        full = np.flatnonzero(sizes)
-        i, j = full // len(self.second), full % len(self.second)
-        full = full[np.lexsort((j, i, of_second[j], of_first[i]))]
-        before = np.cumsum(sizes[full]) - sizes[full]
-        self.shard, self.parts = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32)
-        self.shard[full] = before // ROWS_PER_SHARD
-        self.parts[full] = np.maximum(1, sizes[full] // ROWS_PER_SHARD)
+        self.sizes, width = sizes, len(self.second)
+        full = self.full = np.flatnonzero(sizes)
+        centers = np.concatenate([self.first[full // width], self.second[full % width]], axis=1)
+        n = int(min(GROUPS, max(1, sizes.sum() // ROWS_PER_SHARD)))
+        middles = _k_means(centers[:: max(1, len(full) // TRAINING_ROWS)], n)
+        group = np.concatenate([_distances(centers[lo : lo + 4096], middles).argmin(1) for lo in range(0, len(full), 4096)] or [np.zeros(0, np.int64)])
+        self.shard, self.parts, shards = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32), 0
+        for g in range(n):
+            own = full[group == g]
+            rows = int(sizes[own].sum())
+            cuts = max(1, round(rows / ROWS_PER_SHARD))
+            self.shard[own] = shards + (np.cumsum(sizes[own]) - sizes[own]) * cuts // max(1, rows)
+            self.parts[own] = np.maximum(1, sizes[own] * cuts // max(1, rows))
+            shards += cuts
 
     def candidates(self) -> int:
         """Entries that a traversal of this index reaches by default."""
@@ -148,32 +155,17 @@ class MultiIndex:
     def traverse_all(self, a: np.ndarray, b: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, cell) of what all queries visit, as :meth:`traverse` has it.
 
-        The frontier's next pairs are nearly always among those of the SQUARE nearest centroids of
-        either half, which are put in order for many queries at once. A query
-        whose traversal would leave that square is traversed by its own heap.
+        Where few cells have entries, their order is found for many queries at once, which is what
+        their heaps would come to; else each query has its heap.
         """
-        side_a, side_b = min(SQUARE, a.shape[1]), min(SQUARE, b.shape[1])
-        near_a, near_b = np.argsort(a, axis=1, kind="stable")[:, : side_a + 1], np.argsort(b, axis=1, kind="stable")[:, : side_b + 1]
-        da, db = np.take_along_axis(a, near_a, 1), np.take_along_axis(b, near_b, 1)
-        outside = np.full(len(a), np.inf)
-        if a.shape[1] > side_a:
-            outside = np.minimum(outside, da[:, side_a] + db[:, 0])
-        if b.shape[1] > side_b:
-            outside = np.minimum(outside, da[:, 0] + db[:, side_b])
-        sums = (da[:, :side_a, None] + db[:, None, :side_b]).reshape(len(a), -1)
-        cells = (near_a[:, :side_a, None] * len(self.second) + near_b[:, None, :side_b]).reshape(len(a), -1)
+        if len(self.full) > SORTED_CELLS:
+            visits = [self.traverse(x, y, candidates) for x, y in zip(a, b)]
+            return np.repeat(np.arange(len(a)), [len(v) for v in visits]), np.array([c for v in visits for c in v], np.int64)
+        sums = a[:, self.full // len(self.second)] + b[:, self.full % len(self.second)]
         order = np.argsort(sums, axis=1, kind="stable")
-        cells, sums = np.take_along_axis(cells, order, 1), np.take_along_axis(sums, order, 1)
-        sizes = self.sizes[cells]
-        reached = np.cumsum(sizes, axis=1)
-        taken = reached - sizes < candidates
-        leaves = ((sums >= outside[:, None]) & taken).any(axis=1) | ((reached[:, -1] < candidates) & np.isfinite(outside))
-        query, at = np.nonzero(taken & (sizes > 0) & ~leaves[:, None])
-        found = [(query, cells[query, at])]
-        for q in np.flatnonzero(leaves).tolist():
-            own = np.array(self.traverse(a[q], b[q], candidates), np.int64)
-            found.append((np.full(len(own), q), own))
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        sizes = self.sizes[self.full][order]
+        query, at = np.nonzero(np.cumsum(sizes, axis=1) - sizes < candidates)
+        return query, self.full[order[query, at]]
 
 
 def centroids_for(rows: int) -> int:
@@ -223,7 +215,7 @@ def _routed(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex], c
                 unit = _unit(_matrix(batch.column(2).take(pa.array(at)))).astype(np.float32)
                 index = indexes.get(model) or MultiIndex.trivial(unit.shape[1])
                 if index.sizes is None:
-                    index.sizes, index.shard, index.parts = np.ones(1, np.int64), np.zeros(1, np.int32), np.ones(1, np.int32)
+                    index.divide(np.ones(1, np.int64))
                 a, b = index.halves(unit)
                 own = a.argmin(1) * len(index.second) + b.argmin(1)
                 spread = _scattered(batch.column(1).to_numpy()[at])
@@ -242,7 +234,7 @@ def _routed(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex], c
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pick), pa.array(np.concatenate([index.shard[own] + spread % index.parts[own], shard[first]]).astype(np.int32)), pa.array(kind),
-                        pa.array(np.concatenate([own, own[query[first]]])), batch.column(1).take(pick), batch.column(2).take(pick), lists,
+                        pa.array(np.concatenate([own, cell[first]])), batch.column(1).take(pick), batch.column(2).take(pick), lists,
                     ],
                     names=["model", "shard", "kind", "cell", "class", "vector", "cells"],
                 )

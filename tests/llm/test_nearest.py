@@ -68,10 +68,10 @@ def test_few_and_no_rows(spark):
 def test_traversal_visits_cells_by_summed_distance(monkeypatch):
     draw = np.random.default_rng(5)
     index = nearest.MultiIndex(np.zeros((9, 1), np.float32), np.zeros((7, 1), np.float32))
-    index.sizes = draw.integers(0, 3, 63)
+    index.divide(draw.integers(0, 3, 63))
     a, b = draw.random((40, 9)).astype(np.float32), draw.random((40, 7)).astype(np.float32)
-    for side in (2, 5, 48):
-        monkeypatch.setattr(nearest, "SQUARE", side)
+    for most in (10, 8192):
+        monkeypatch.setattr(nearest, "SORTED_CELLS", most)
         for n in (1, 4, 20, 1000):
             query, cell = index.traverse_all(a, b, n)
             for q in range(40):
