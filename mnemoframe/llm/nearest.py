@@ -397,6 +397,52 @@ def nearest_vectors(rows: DataFrame, id: str, model: str, vector: str, k: int =
     return paired.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "other", "similarity", "rank")
 
 
+def _exact(batches: Iterator[pa.RecordBatch], asked: dict[str, tuple[list[str], np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for model, rows in _by_model(batch):
+            if model not in asked:
+                continue
+            names, unit = asked[model]
+            ids = np.array(batch.column(1).take(pa.array(rows)).to_pylist(), object)
+            scores = _unit(_matrix(batch.column(2).take(pa.array(rows)))) @ unit.T
+            scores[ids[:, None] == np.array(names, object)[None, :]] = -np.inf
+            most = min(k, len(rows))
+            row, query = np.nonzero((scores >= -np.partition(-scores, most - 1, axis=0)[most - 1]) & np.isfinite(scores))
+            yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in query], pa.string()), pa.array(ids[row].tolist(), pa.string()), pa.array(np.round(np.minimum(scores[row, query], 1.0), 12))], names=["id", "other", "similarity"])
+
+
+def measured_loss(rows: DataFrame, found: DataFrame, id: str, model: str, vector: str, k: int = 5, every: int = 50, most: int = 4096) -> DataFrame:
+    """``asked, wanted, found, recall, loss`` in one row: how much of the exact lists ``found`` has.
+
+    Asked are the ids whose hash is divisible by ``every``. Their exact lists come from the product of
+    their vectors, in blocks of ``most``, with those of all rows. No ids give a null recall.
+    """
+    spark = rows.sparkSession
+    rows = rows.select(F.concat_ws("\x1f", F.col(model), F.size(vector).cast("string")).alias("model"), F.col(id).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & F.col(model).isNotNull())
+    asked = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    exact, block = spark.createDataFrame([], "id string, other string, similarity double"), []
+
+    def compared(block):
+        by_model: dict[str, list] = {}
+        for r in block:
+            by_model.setdefault(r["model"], []).append((r["id"], r["vector"]))
+        shared = spark.sparkContext.broadcast({m: ([i for i, _ in own], _unit(np.array([v for _, v in own], np.float32))) for m, own in by_model.items()})
+        return rows.mapInArrow(lambda it: _exact(it, shared.value, k), "id string, other string, similarity double")
+
+    for r in asked.toLocalIterator():
+        block.append(r)
+        if len(block) == most:
+            exact, block = exact.unionByName(compared(block)), []
+    if block:
+        exact = exact.unionByName(compared(block))
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
+    wanted = exact.withColumn("n", best).where(F.col("n") <= k).select("id", "other")
+    met = wanted.join(found.select("id", "other").withColumn("_hit", F.lit(1)), ["id", "other"], "left")
+    sums = met.agg(F.count_distinct("id").alias("asked"), F.count("*").alias("wanted"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("found"))
+    recall = F.try_divide("found", "wanted")
+    return sums.select("asked", "wanted", "found", recall.alias("recall"), (1 - recall).alias("loss"))
+
+
 def latest_vectors(rows: DataFrame, id: Column, version: str = "mtime") -> DataFrame:
     """``id, model, dim, vector``: per id the row with the greatest version, if its vector is usable.
 

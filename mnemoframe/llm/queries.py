@@ -11,7 +11,7 @@ from mnemoframe.llm.groups import connected_groups
 from mnemoframe.llm.history import near_duplicates_of_history, repeated_records, words_of
 from mnemoframe.llm.leaks import leaked_items
 from mnemoframe.llm.mixing import mix_report, weighted_mix, with_tokens
-from mnemoframe.llm.nearest import latest_vectors, nearest_vectors
+from mnemoframe.llm.nearest import latest_vectors, measured_loss, nearest_vectors
 from mnemoframe.llm.spans import document_spans, shared_amounts, sharing_pairs, without_shared_spans
 from mnemoframe.llm.together import items_together
 from mnemoframe.plans.memory_logs import name_sql
@@ -112,6 +112,13 @@ def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return _nearest(spark, folder).select(F.col("id").alias("filename"), F.col("other").alias("neighbour"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@CATALOG.query("p5_loss")
+def p5_loss(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the exact five nearest that the index finds, over every fiftieth file against all."""
+    latest = latest_vectors(table(spark, folder, "memory_vectors"), common_file_name("filename"))
+    return measured_loss(latest, _nearest(spark, folder), "id", "model", "vector", NEIGHBOURS)
+
+
 _HISTORY_SQL = r"""
 w AS (SELECT DISTINCT id, batch_no, list_distinct(regexp_extract_all(lower(coalesce(trigger, '') || ' ' || coalesce(action, '')), '[a-z0-9_]+')) AS s FROM heuristics WHERE id IS NOT NULL AND batch_no IS NOT NULL),
 h AS (SELECT DISTINCT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM w x JOIN w y ON x.id < y.id AND x.batch_no <> y.batch_no AND len(x.s) > 0 AND len(y.s) > 0

@@ -106,3 +106,14 @@ def test_a_cell_larger_than_a_shard_is_split(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id string, model string, vector array<float>")
     found = {(r["id"], r["other"]) for r in nearest_vectors(df, "id", "model", "vector", 3, candidates=10_000).collect()}
     assert found == {(i, j) for i, v in brute(rows, 3).items() for j, _ in v}
+
+
+def test_loss_is_measured_against_the_exact_lists(spark):
+    rows = [(f"f{i:03d}", "m", v) for i, v in enumerate(clustered(80, 5, 4))] + [("one", "x", [1.0])]
+    df = spark.createDataFrame(rows, "id string, model string, vector array<float>")
+    found = nearest_vectors(df, "id", "model", "vector", 3)
+    whole = nearest.measured_loss(df, found, "id", "model", "vector", 3, every=1, most=7).first()
+    assert (whole["asked"], whole["wanted"], whole["found"], whole["loss"]) == (80, 240, 240, 0.0)
+    part = nearest.measured_loss(df, found.where("rank < 3"), "id", "model", "vector", 3, every=1).first()
+    assert part["found"] == 160 and abs(part["recall"] - 2 / 3) < 1e-12
+    assert nearest.measured_loss(df.limit(0), found, "id", "model", "vector", 3).first()["recall"] is None
