@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 WORDS = re.compile(r"[^\W_]+")
 #: So many consecutive words of an item make a leak; an item with fewer must occur whole.
 LEAK_WORDS = 12
-#: Characters of test items that go into one set of tables; more items make more passes.
-PATTERN_CHARS = 16_000_000
+#: Characters of test items that go into one set of tables, which then take some 100 MB of a worker; more items make more passes.
+PATTERN_CHARS = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
