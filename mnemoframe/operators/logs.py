@@ -134,20 +134,22 @@ def error_recoveries(rows: DataFrame, session: str, at: str, id: str, tool: str,
     return met.groupBy("session", "tool", "error_id").agg(F.min_by("id", "n").alias("recovery_id"), F.min(F.col("n") - F.col("error_n")).cast("long").alias("distance"))
 
 
-def next_event(rows: DataFrame, at: str, name: str, first: Column, second: Column, by: list[str] | None = None, within: int = PAIR_SECONDS, slice_seconds: int = DAY) -> DataFrame:
+def next_event(rows: DataFrame, at: str, name: str, first: Column, second: Column, by: list[str] | None = None, within: int = PAIR_SECONDS, slice_seconds: int | None = None) -> DataFrame:
     """Forward as-of join: each ``first`` row with the next ``second`` row at most ``within`` seconds later.
 
     Returns ``by..., at, name, next_name, next_at``, both null where there is none. Rows are ordered
-    by time and name. Rows are cut into slices of time; the ``second`` rows of a slice's first
-    seconds are also put into the slice before, so that slices are searched on their own.
+    by time and name. Rows are cut into slices of time, by default of ten times ``within``; the ``second`` rows of a slice's first
+    seconds are also put into the slice before, so that slices are searched on their own. A slice is
+    read once from its end, carrying the last ``second`` row along.
     """
     by = by or []
+    slice_seconds = slice_seconds or 10 * max(1, within)
     tagged = rows.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("_t"), F.col(name).alias("_name"), F.coalesce(first, F.lit(False)).alias("_first"), F.coalesce(second, F.lit(False)).alias("_second"))
     slice_of = F.call_function("div", F.col("_t"), F.lit(slice_seconds))
     early = F.col("_second") & (F.pmod(F.col("_t"), F.lit(slice_seconds)) <= within)
     spread = tagged.withColumn("_s", F.explode(F.when(early, F.array(slice_of, slice_of - 1)).otherwise(F.array(slice_of))))
-    ahead = Window.partitionBy(*by, "_s").orderBy("_t", "_name").rowsBetween(1, Window.unboundedFollowing)
-    nearest = F.first(F.when(F.col("_second"), F.struct(F.col("_name").alias("name"), F.col("_t").alias("at"))), ignorenulls=True).over(ahead)
+    ahead = Window.partitionBy(*by, "_s").orderBy(F.desc("_t"), F.desc("_name"), "_second").rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.last(F.when(F.col("_second"), F.struct(F.col("_name").alias("name"), F.col("_t").alias("at"))), ignorenulls=True).over(ahead)
     found = spread.withColumn("_next", nearest).where(F.col("_first") & (F.col("_s") == slice_of))
     near = F.col("_next.at") - F.col("_t") <= within
     return found.select(*by, F.col("_t").alias("at"), F.col("_name").alias("name"), F.when(near, F.col("_next.name")).alias("next_name"), F.when(near, F.col("_next.at")).alias("next_at"))
@@ -156,7 +158,7 @@ def next_event(rows: DataFrame, at: str, name: str, first: Column, second: Colum
 def nearest_in_time(left: DataFrame, right: DataFrame, at: str, by: list[str], key: str) -> DataFrame:
     """As-of join to the nearest: adds ``right_key, gap`` of the right row of the same ``by`` closest in time; ties: earlier, then smaller key.
 
-    Both sides are merged by time in one window a group; no pairs are formed.
+    Both sides are merged by time in two running windows a group, forwards and backwards; no pairs are formed.
     """
     kind = right.schema[key].dataType
     stream = left.select(*by, F.col(at).alias("_t"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(kind).alias("_k")).unionByName(
@@ -167,7 +169,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, at: str, by: list[str], k
     here = Window.partitionBy(*by).orderBy("_t")
     real = F.when(F.col("_k").isNotNull(), place)
     before = F.last(real, ignorenulls=True).over(here.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(real, ignorenulls=True).over(here.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    back = Window.partitionBy(*by).orderBy(F.desc("_t"))
+    after = F.last(real, ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     both = stream.withColumn("_b", before).withColumn("_a", after).where(F.col("_row").isNotNull())
     gap_b, gap_a = F.col("_t") - F.col("_b.t"), F.col("_a.t") - F.col("_t")
     use_before = F.col("_a").isNull() | (F.col("_b").isNotNull() & (gap_b <= gap_a))

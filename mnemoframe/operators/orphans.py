@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.durable import as_table, release
+
 #: A key with more references than this is spread over several partitions of the merge.
 ROWS_PER_SALT = 200_000
-#: At most so many keys are looked at as hot. Any other holds under a thousandth of the rows.
-HOT_KEYS = 1000
+#: Hot keys up to which their list goes to the workers.
+BROADCAST_KEYS = 100_000
 
 
 def validity_intervals(parents: DataFrame, key: Column, start_us: Column, end_us: Column) -> DataFrame:
@@ -20,11 +22,24 @@ def validity_intervals(parents: DataFrame, key: Column, start_us: Column, end_us
     return parents.select(key.alias("key"), start_us.alias("start"), end_us.alias("end")).where("key IS NOT NULL AND start IS NOT NULL AND (end IS NULL OR end > start)").distinct()
 
 
-def _salts(references: DataFrame) -> DataFrame | None:
-    """``key, salts`` of the hot keys, at most HOT_KEYS rows; None where there is none."""
-    top = references.groupBy("key").count().orderBy(F.desc("count")).limit(HOT_KEYS).collect()
-    hot = [(r["key"], -(-r["count"] // ROWS_PER_SALT)) for r in top if r["count"] > ROWS_PER_SALT]
-    return references.sparkSession.createDataFrame(hot, "key string, salts int") if hot else None
+def _salted(references: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``: the references of each key with more than ROWS_PER_SALT are spread, its intervals repeated.
+
+    All such keys are salted, however many; there is at most one for each ROWS_PER_SALT rows.
+    """
+    counts = references.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_SALT)
+    hot = as_table(counts.select("key", F.ceil(F.col("n") / F.lit(ROWS_PER_SALT)).cast("int").alias("salts")), "orphan-hot")
+    n = hot.count()
+    if not n:
+        release(hot)
+        return references.withColumn("_salt", F.lit(0)), intervals.withColumn("_salt", F.lit(0))
+    hot = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+    salts = F.coalesce("salts", F.lit(1))
+    spread = F.pmod(F.xxhash64(*[c for c in references.columns if c != "key"]), salts).cast("int")
+    return (
+        references.join(hot, "key", "left").withColumn("_salt", spread).drop("salts"),
+        intervals.join(hot, "key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts"),
+    )
 
 
 def reference_status(references: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -37,39 +52,33 @@ def reference_status(references: DataFrame, intervals: DataFrame) -> DataFrame:
     key is late, of another missing. References with a null key are left out.
 
     References and interval ends are brought together by key, sorted by time, and merged in
-    one pass: a running sum of starts minus ends tells how many intervals are open. A hot key's
-    references are salted, with its intervals repeated for each salt.
+    one pass: a running sum of starts minus ends tells how many intervals are open. Every hot key's
+    references are salted, with its intervals repeated for each salt. No partition is held as a whole.
     """
     others = [c for c in references.columns if c not in ("key", "at")]
     references = references.where("key IS NOT NULL")
-    hot = _salts(references)
-    if hot is None:
-        references = references.withColumn("_salt", F.lit(0))
-        intervals = intervals.withColumn("_salt", F.lit(0))
-    else:
-        references = references.join(F.broadcast(hot), "key", "left").withColumn("_salt", F.pmod(F.xxhash64("at", *others), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-        intervals = intervals.join(F.broadcast(hot), "key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    references, intervals = _salted(references, intervals)
     row = F.struct(*others) if others else F.struct(F.lit(0).alias("_none"))
     row_type = references.select(row.alias("r")).schema["r"].dataType
     none = F.lit(None).cast(row_type)
-    # An end at the time of a reference closes before it, a start opens before it.
+    # An end at the time of a reference closes before it, a start opens before it. The least time marks a key that has intervals.
     edges = intervals.select(
         "key", "_salt",
         F.explode(F.array(
             F.struct(F.col("start").alias("at"), F.lit(1).alias("step")),
             F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")),
+            F.struct(F.lit(-(1 << 63)).alias("at"), F.lit(0).alias("step")),
         )).alias("e"),
     ).where("e.at IS NOT NULL").select("key", "_salt", "e.at", F.lit(0).alias("kind"), "e.step", none.alias("row"))
     stream = references.select("key", "_salt", "at", F.lit(1).alias("kind"), F.lit(0).alias("step"), row.alias("row")).unionByName(edges)
-    merge = Window.partitionBy("key", "_salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("key", "_salt")
+    merge = Window.partitionBy("key", "_salt").orderBy(F.col("at").asc_nulls_last(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = stream.select(
         "*",
         F.sum("step").over(merge).alias("open"),
         F.sum(F.greatest("step", F.lit(0))).over(merge).alias("begun"),
-        F.max(F.greatest("step", F.lit(0))).over(whole).alias("known"),
+        F.min("kind").over(merge).alias("first"),
     ).where("kind = 1")
-    status = F.when(F.col("open") > 0, "ok").when(F.col("known") == 0, "missing").when(F.col("begun") > 0, "deleted").otherwise("late")
+    status = F.when(F.col("first") == 1, "missing").when(F.col("at").isNull(), "late").when(F.col("open") > 0, "ok").when(F.col("begun") > 0, "deleted").otherwise("late")
     return merged.select("key", "at", *[F.col("row").getField(c).alias(c) for c in others], status.alias("status"))
 
 
