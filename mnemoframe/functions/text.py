@@ -53,6 +53,29 @@ SEARCH_STOP_WORDS = (
     "the", "and", "for", "you", "are", "but", "not", "have", "this", "that", "what", "with", "from", "was", "were", "can", "would",
     "should", "could", "will", "your", "did", "want", "let", "let's", "going", "now", "just", "really", "still", "also",
 )
+SESSION_TOPIC_STOP_WORDS = (
+    "the", "a", "an", "and", "or", "but", "if", "for", "to", "of", "in", "on",
+    "at", "by", "with", "from", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "this", "that", "these", "those",
+    "i", "you", "he", "she", "it", "we", "they", "my", "your", "his", "her",
+    "its", "our", "their", "me", "him", "us", "them",
+    "py", "js", "ts", "md", "json", "txt", "log", "tmp",
+    "cd", "ls", "cat", "echo", "rm", "mv", "cp", "mkdir",
+    "import", "from", "def", "class", "return", "if", "else", "for",
+    "true", "false", "null", "none", "users", "claude", "c", "home", "tmp", "var",
+)
+CANDIDATE_TOPIC_STOP_WORDS = (
+    "the", "a", "an", "and", "or", "but", "if", "for", "to", "of", "in", "on", "at", "by", "with", "from", "is", "are", "was", "were",
+    "be", "this", "that", "these", "those", "what", "you", "your", "us", "py", "js", "md", "json", "log", "tmp", "cd", "ls", "cat", "rm",
+    "mv", "cp", "mkdir", "echo", "import", "from", "def", "class", "return", "true", "false", "none", "users", "claude", "c", "home", "tmp",
+    "var", "projects", "scripts", "_meta", "memory", "path", "sys", "get_connection", "ensure_db",
+)
+DISTILLER_PROMPTS = ("distil one reusable how-to-act heuristic", "you distil a reusable heuristic from a mistake")
+USER_VERBS = (
+    (r"\b{user}\s+(?:uses|runs|relies\s+on|loves)\s+([A-Z][\w/_.-]+)", "uses"),
+    (r"\b{user}\s+manages\s+([A-Z][\w\s,.-]+?)(?:\.|,| and|;|$)", "manages"),
+    (r"\b([A-Z][\w_-]+)\s+(?:built\s+by|written\s+by|by)\s+{user}", "built_by"),
+)
 
 
 def col(c: Column | str) -> Column:
@@ -293,3 +316,17 @@ def iso_week(day: Column | str) -> Column:
     """``YYYY-Www`` of a date."""
     day = col(day)
     return F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), day).cast("int"), F.weekofyear(day))
+
+
+def user_verb_patterns(user: str) -> list[tuple[str, str]]:
+    """(pattern, type) of what is said about a user: uses, manages, built by."""
+    return [(p.replace("{user}", re.escape(user)), t) for p, t in USER_VERBS]
+
+
+def distiller_prompt(text: Column | str) -> Column:
+    """Whether a prompt asks to distil a habit: a known wording, or its three telling words. Null: false."""
+    low = F.btrim(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"\s+", " "))
+    found = F.contains(low, F.lit("distil")) & F.contains(low, F.lit("reusable")) & F.contains(low, F.lit("heuristic"))
+    for said in DISTILLER_PROMPTS:
+        found = found | F.contains(low, F.lit(said))
+    return found

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.catalog import Catalog
 from mnemoframe.functions.names import common_file_name
+from mnemoframe.functions.text import user_verb_patterns
 from mnemoframe.operators import graph as G
 from mnemoframe.plans import views as V
 from mnemoframe.plans.memory_logs import name_sql
@@ -161,10 +162,15 @@ def linked_files(spark, d):
     return G.linked_files(rows)
 
 
-@CATALOG.query("verb_edges", """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), 'Ran ([A-Z][A-Za-z]+)', 1)) AS object, 'runs' AS type FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), 'leave the ([a-z]+) alone', 1)), 'leaves' FROM documents)
-SELECT DISTINCT 'user' AS subject, type, object, 0.6 AS confidence, doc_id AS source FROM m WHERE length(object) BETWEEN 3 AND 50""")
+_SAID = "coalesce(text, '') || ' Ada relies on Tool_' || doc_id || '; Ada uses X. Ada manages Team ' || doc_id || ', Crew and more. Plan-' || doc_id || ' written by Ada'"
+
+
+@CATALOG.query("verb_edges", rf"""WITH d AS (SELECT doc_id, {_SAID} AS t FROM documents), m AS (SELECT doc_id, unnest(regexp_extract_all(t, '\bAda\s+(?:uses|runs|relies\s+on|loves)\s+([A-Z][\w/_.-]+)', 1)) AS object, 'uses' AS type FROM d
+  UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '\bAda\s+manages\s+([A-Z][\w\s,.-]+?)(?:\.|,| and|;|$)', 1)), 'manages' FROM d UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '\b([A-Z][\w_-]+)\s+(?:built\s+by|written\s+by|by)\s+Ada', 1)), 'built_by' FROM d)
+SELECT DISTINCT 'Ada' AS subject, type, trim(object) AS object, 0.6::DOUBLE AS confidence, doc_id AS source FROM m WHERE length(trim(object)) BETWEEN 3 AND 50""")
 def verb_edges(spark, d):
-    return G.verb_edges(V.docs(spark, d), [("Ran ([A-Z][A-Za-z]+)", "runs"), ("leave the ([a-z]+) alone", "leaves")], "user")
+    said = V.docs(spark, d).withColumn("body", F.expr(_SAID.replace("text", "body")))
+    return G.verb_edges(said, user_verb_patterns("Ada"), "Ada")
 
 
 @CATALOG.query("related_edges", f"WITH {V.FILES_SQL}, {V.RELATED_SQL} SELECT DISTINCT a.name AS from_name, b.name AS to_name, 'related_to' AS type, rel.file AS source FROM rel JOIN files a ON rel.file = a.file JOIN files b ON rel.other = b.file")

@@ -183,9 +183,24 @@ def issue_counts(spark, d):
     return audits.issue_counts(_issues(spark, d))
 
 
-@CATALOG.query("health_score", f"WITH {_ISSUES}, c AS (SELECT issue, count(*) AS n FROM iss GROUP BY issue), p AS (SELECT coalesce(sum(least(n * CASE issue WHEN 'missing' THEN 10 WHEN 'expired' THEN 5 WHEN 'duplicates' THEN 3 WHEN 'untyped' THEN 2 WHEN 'unindexed' THEN 1 ELSE 0 END, 30)), 0)::BIGINT AS penalty FROM c) SELECT penalty, greatest(0, 100 - penalty)::BIGINT AS score FROM p")
+_ALL_ISSUES = f"""{_ISSUES}, vk AS (SELECT DISTINCT {name_sql("filename")} AS key FROM memory_vectors WHERE {name_sql("filename")} IS NOT NULL), fk AS (SELECT file AS key FROM files),
+ai AS (SELECT issue, CAST(key AS VARCHAR) AS key FROM iss UNION ALL SELECT 'missing', key FROM vk WHERE key NOT IN (SELECT key FROM fk) UNION ALL SELECT 'unindexed', key FROM fk WHERE key NOT IN (SELECT key FROM vk))"""
+
+
+def _all_issues(spark, d):
+    """The files' own issues, vectors without a file and files without a vector."""
+    vectors_of = table(spark, d, "memory_vectors").select(common_file_name("filename").alias("key"))
+    return _issues(spark, d).unionByName(audits.two_way_orphans(vectors_of, V.files(spark, d).select(F.col("file").alias("key"))))
+
+
+@CATALOG.query("audit_issues", f"WITH {_ALL_ISSUES} SELECT issue, key FROM ai")
+def audit_issues(spark, d):
+    return _all_issues(spark, d)
+
+
+@CATALOG.query("health_score", f"WITH {_ALL_ISSUES}, c AS (SELECT issue, count(*) AS n FROM ai GROUP BY issue), p AS (SELECT coalesce(sum(least(n * CASE issue WHEN 'missing' THEN 10 WHEN 'expired' THEN 5 WHEN 'duplicates' THEN 3 WHEN 'untyped' THEN 2 WHEN 'unindexed' THEN 1 ELSE 0 END, 30)), 0)::BIGINT AS penalty FROM c) SELECT penalty, greatest(0, 100 - penalty)::BIGINT AS score FROM p")
 def health_score(spark, d):
-    return audits.health_score(audits.issue_counts(_issues(spark, d)))
+    return audits.health_score(audits.issue_counts(_all_issues(spark, d)))
 
 
 @CATALOG.query("health_invariants", f"""WITH {V.JOBS_SQL}, la AS (SELECT event_id, arg_max(status, seq) AS status FROM jobs GROUP BY event_id) SELECT 'pending' AS "check", count(*) FILTER (status = 'pending')::DOUBLE AS value, 50.0::DOUBLE AS most, count(*) FILTER (status = 'pending') <= 50 AS ok FROM la

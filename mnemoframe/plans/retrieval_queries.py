@@ -190,6 +190,24 @@ def recent_matches(spark, d):
     return lexical.recent_matches(table(spark, d, "documents"), V.asked(spark, d), "doc_id", "text", "written_at").select("query_id", "doc_id", "rank")
 
 
+_EPILOGUE = "lower(trim(coalesce(source, ''))) = 'session_epilogue'"
+_ROWS_ONLY, _SUMMARIES_ONLY = (f"(SELECT * FROM documents WHERE {c}) AS documents" for c in (f"NOT ({_EPILOGUE})", _EPILOGUE))
+_IX, _AFTER = _RECENT.index("ix AS ("), _RECENT[_RECENT.index("ix AS (") :]
+
+
+@CATALOG.query("merged_matches", f"""WITH {_RECENT[:_IX]}{_AFTER.replace("FROM documents", "FROM " + _ROWS_ONLY).replace("JOIN documents", "JOIN " + _ROWS_ONLY)},
+{_AFTER.replace("FROM documents", "FROM " + _SUMMARIES_ONLY).replace("JOIN documents", "JOIN " + _SUMMARIES_ONLY).replace("ix AS", "ix2 AS").replace("JOIN ix ", "JOIN ix2 ").replace("hit AS", "hit2 AS").replace("FROM hit ", "FROM hit2 ").replace("recent AS", "recent2 AS").replace("0.5 AS score", "0.55 AS score")},
+mm AS (SELECT query_id, doc_id, written_at, score FROM recent UNION ALL SELECT query_id, doc_id, written_at, score FROM recent2)
+SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY written_at DESC NULLS LAST, score DESC, doc_id) AS rank FROM mm QUALIFY rank <= 3""")
+def merged_matches(spark, d):
+    """Rows and session summaries that match, in one list, newest first."""
+    docs, asked = table(spark, d, "documents"), V.asked(spark, d)
+    summary = F.coalesce(F.lower(F.btrim("source")) == "session_epilogue", F.lit(False))
+    rows = lexical.recent_matches(docs.where(~summary), asked, "doc_id", "text", "written_at").withColumnRenamed("doc_id", "key")
+    summaries = lexical.recent_matches(docs.where(summary), asked, "doc_id", "text", "written_at", score=0.55).withColumnRenamed("doc_id", "key")
+    return lexical.merged_matches(rows, summaries, "written_at", 3).select("query_id", F.col("key").alias("doc_id"), "score", "rank")
+
+
 @CATALOG.query("phrase_search", f"""WITH {V.DOCS_SQL}, {V.ASKED_SQL},
 pw AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: length(w) > 2)) AS word FROM asked),
 ph AS (SELECT query_id, doc_id, sum((length(lower(body)) - length(replace(lower(body), word, ''))) // length(word)) AS score FROM pw JOIN docs ON contains(lower(body), word) GROUP BY ALL)

@@ -91,11 +91,12 @@ def open_conflicts(spark, d):
 
 
 @CATALOG.query("recorded_conflicts", f"""WITH c AS (SELECT {_PAIR}, similarity AS s, resolved FROM conflicts WHERE {name_sql('new_file')} IS NOT NULL AND {name_sql('existing_file')} IS NOT NULL), o AS (SELECT DISTINCT x, y FROM c WHERE resolved = 0),
-n AS (SELECT x, y, max(round_even(s, 4)) AS similarity FROM c WHERE resolved <> 0 AND s BETWEEN 0 AND 1 GROUP BY ALL) SELECT {V.NOW}::BIGINT AS ts, x AS new_file, y AS existing_file, similarity, 'again' AS note, 0 AS resolved FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.x = n.x AND o.y = n.y)""")
+n AS (SELECT x, y, max(round_even(CASE WHEN s > 1 THEN s / 100 ELSE s END, 4)) AS similarity FROM c WHERE resolved <> 0 AND s IS NOT NULL AND NOT isnan(s) GROUP BY ALL) SELECT {V.NOW}::BIGINT AS ts, x AS new_file, y AS existing_file, similarity, 'again' AS note, 0 AS resolved FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.x = n.x AND o.y = n.y)""")
 def recorded_conflicts(spark, d):
     a, b = common_file_name("new_file"), common_file_name("existing_file")
     rows = table(spark, d, "conflicts").select(F.least(a, b).alias("new_file"), F.greatest(a, b).alias("existing_file"), "similarity", "resolved", a.isNotNull().alias("x"), b.isNotNull().alias("y")).where("x AND y")
-    again = rows.where("resolved <> 0 AND similarity BETWEEN 0 AND 1").select(F.col("new_file").alias("a"), F.col("existing_file").alias("b"), "similarity")
+    score = F.when(F.col("similarity") > 1, F.col("similarity") / F.lit(100.0)).otherwise(F.col("similarity"))
+    again = rows.where("resolved <> 0 AND similarity IS NOT NULL AND NOT isnan(similarity)").select(F.col("new_file").alias("a"), F.col("existing_file").alias("b"), score.alias("similarity"))
     return state.recorded_conflicts(rows, again, V.NOW, "again")
 
 

@@ -119,10 +119,19 @@ def redactions(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(T.redacted("text")).alias("redacted"), T.names_credential("text").alias("credential"))
 
 
-@CATALOG.query("excluded_paths", "SELECT DISTINCT path, regexp_matches(path, '^(.*/)?[^/]*draft[^/]*$|^session_epilogue/.*$|^.*/?[^/]*7\\.md$') AS excluded FROM documents WHERE path IS NOT NULL")
+#: What each path is made to end or begin with, so that every glob has paths that match it; ``{}`` is the path.
+_PATHS = ("{}", "{}.env", "{}.env.local", "a/credentials-{}", "a/.credentials.d", "b/.git/objects/{}", "node_modules/{}", "c/node_modules/{}", "c/__pycache__/{}", "{}.key", "{}.pem", "~/.ssh/{}", "/h/.gnupg/{}", "{}.bash_history", "{}.bak-pre-7", "{}/environment.md", "x.keys/{}", "node_modules.md")
+_PATHS_SQL = "CASE doc_id % " + str(len(_PATHS)) + " ".join(f" WHEN {i} THEN replace('{p}', '{{}}', path)" for i, p in enumerate(_PATHS)) + " END"
+
+
+@CATALOG.query("excluded_paths", rf"""WITH p AS (SELECT doc_id, {_PATHS_SQL} AS path FROM documents WHERE path IS NOT NULL), b AS (SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS base FROM p)
+SELECT doc_id, path, base GLOB '*.env' OR base GLOB '*.env.*' OR base GLOB '*.key' OR base GLOB '*.pem' OR base GLOB '*history' OR base GLOB '*.bak-pre-*'
+  OR regexp_matches(path, '(^|/)\.?credentials[^/]*$') OR regexp_matches(path, '(^|/)(\.git/objects|node_modules|__pycache__|\.ssh|\.gnupg)/') AS excluded FROM b""")
 def excluded_paths(spark, d):
-    globs = ("*draft*", "session_epilogue/**", "**/*7.md")
-    return table(spark, d, "documents").where("path IS NOT NULL").select("path", T.path_excluded("path", globs).alias("excluded")).distinct()
+    kind = F.pmod("doc_id", F.lit(len(_PATHS)))
+    path = F.coalesce(*[F.when(kind == i, F.replace(F.lit(p), F.lit("{}"), F.col("path"))) for i, p in enumerate(_PATHS)])
+    rows = table(spark, d, "documents").where("path IS NOT NULL").select("doc_id", path.alias("path"))
+    return rows.select("doc_id", "path", T.path_excluded("path").alias("excluded"))
 
 
 @CATALOG.query("error_flags", f"SELECT doc_id, regexp_matches(coalesce(text, ''), '(?m)^\\s*(Traceback \\(most recent call last\\)|[A-Z][A-Za-z]*(Error|Exception)[:\\s])') OR regexp_matches(coalesce(text, ''), '{T.ERROR_PHRASE}') OR contains(coalesce(text, ''), 'tool_use_error') AS failed FROM documents")
@@ -152,10 +161,9 @@ def snippets(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.first_line_with("text", F.lit("Checked")).alias("line"))
 
 
-@CATALOG.query("byte_cuts", "SELECT doc_id, strlen(text) AS bytes, CASE WHEN strlen(text) = length(text) THEN substr(text, 1, 100) END AS head FROM documents WHERE text IS NOT NULL")
+@CATALOG.query("byte_cuts", "SELECT doc_id, strlen(text) AS bytes, substr(text, 1, list_max(list_filter(range(0, 101), lambda i: strlen(substr(text, 1, i)) <= 100))) AS head FROM documents WHERE text IS NOT NULL")
 def byte_cuts(spark, d):
-    head = F.when(F.octet_length("text") == F.length("text"), T.cut_bytes("text", 100))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), head.alias("head"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), T.cut_bytes("text", 100).alias("head"))
 
 
 @CATALOG.query("salvaged_json", "SELECT event_id, props AS found FROM events")
@@ -205,21 +213,21 @@ def month_buckets(spark, d):
 
 
 @CATALOG.query("session_topics", """WITH w AS (SELECT session_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_-]{2,}')) AS term FROM documents WHERE session_id IS NOT NULL),
-s AS (SELECT * FROM w WHERE term NOT IN (""" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.SEARCH_STOP_WORDS) + """)),
+s AS (SELECT * FROM w WHERE term NOT IN (""" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.SESSION_TOPIC_STOP_WORDS) + """)),
 c AS (SELECT session_id, term, count(*) AS tf FROM s GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term), n AS (SELECT count(DISTINCT session_id) AS n FROM documents),
 k AS (SELECT session_id, term, round(tf * (ln(n / df::DOUBLE) + 1), 6) AS score, row_number() OVER (PARTITION BY session_id ORDER BY round(tf * (ln(n / df::DOUBLE) + 1), 10) DESC, term) AS rank FROM c JOIN f USING (term), n)
 SELECT session_id, term, score, rank FROM k WHERE rank <= 10""")
 def session_topics(spark, d):
     rows = table(spark, d, "documents").where("session_id IS NOT NULL")
-    return lexical.tfidf_topics(rows, "session_id", T.topic_words("text")).withColumn("score", F.round("score", 6))
+    return lexical.tfidf_topics(rows, "session_id", T.topic_words("text", T.SESSION_TOPIC_STOP_WORDS)).withColumn("score", F.round("score", 6))
 
 
 @CATALOG.query("source_terms", """WITH w AS (SELECT lower(trim(source)) AS source, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_-]{2,}')) AS term FROM documents WHERE source IS NOT NULL),
-c AS (SELECT source, term, count(*) AS n FROM w WHERE term NOT IN (""" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.SEARCH_STOP_WORDS) + """) GROUP BY ALL)
+c AS (SELECT source, term, count(*) AS n FROM w WHERE term NOT IN (""" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.CANDIDATE_TOPIC_STOP_WORDS) + """) GROUP BY ALL)
 SELECT source, term, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rank FROM c QUALIFY rank <= 5""")
 def source_terms(spark, d):
     rows = table(spark, d, "documents").where("source IS NOT NULL").withColumn("source", F.lower(F.btrim("source")))
-    return lexical.top_terms(rows, "source", T.topic_words("text"))
+    return lexical.top_terms(rows, "source", T.topic_words("text", T.CANDIDATE_TOPIC_STOP_WORDS))
 
 
 @CATALOG.query("trimmed_sessions", "SELECT DISTINCT session_id, trim(session_id) AS bare FROM access_log WHERE session_id IS NOT NULL")
