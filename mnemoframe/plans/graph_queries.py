@@ -94,13 +94,21 @@ _REFS = f"""rf AS (SELECT DISTINCT {name_sql("from_file")} AS f, {name_sql("to_f
 rn AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM nm), re AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, count(*) * 1.0::DOUBLE AS w FROM rf JOIN rn a ON f = a.name JOIN rn b ON t = b.name WHERE a.id <> b.id GROUP BY ALL)"""
 
 
-def _ppr_sql(steps: int) -> str:
+#: Seeds: each nation asks from its own node.
+_NATION_SEEDS = "SELECT n_nationkey AS query_id, n_nationkey + 101 AS node, 1.0::DOUBLE AS rank FROM nation"
+
+
+def ppr_ctes(seeds: str = _NATION_SEEDS, steps: int = G.ITERATIONS) -> str:
+    """Tables up to ``ppr`` (query_id, node, rank) in SQL; ``edges`` is among them."""
     edges = f"{V.EDGES_SQL}, uw AS (SELECT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b, sum(greatest(0.05, confidence)) AS w FROM edges WHERE from_id <> to_id GROUP BY ALL), di AS (SELECT a AS src, b AS dst, w FROM uw UNION ALL SELECT b, a, w FROM uw), mv AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM di)"
-    seeds = "s AS (SELECT n_nationkey AS query_id, n_nationkey + 101 AS node, 1.0::DOUBLE AS rank FROM nation)"
-    parts = [edges, seeds, "r0 AS MATERIALIZED (SELECT * FROM s)"]
+    parts = [edges, f"ps AS ({seeds})", "r0 AS MATERIALIZED (SELECT * FROM ps)"]
     for i in range(1, steps + 1):
-        parts.append(f"r{i} AS MATERIALIZED (SELECT query_id, node, sum(rank) AS rank FROM (SELECT query_id, dst AS node, 0.85 * rank * p AS rank FROM r{i - 1} JOIN mv ON node = src UNION ALL SELECT query_id, node, 0.15 * rank FROM s) GROUP BY ALL)")
-    return "WITH " + ", ".join(parts) + f" SELECT query_id, node, round(rank, 8) AS rank FROM r{steps} WHERE rank > 1e-6"
+        parts.append(f"r{i} AS MATERIALIZED (SELECT query_id, node, sum(rank) AS rank FROM (SELECT query_id, dst AS node, 0.85 * rank * p AS rank FROM r{i - 1} JOIN mv ON node = src UNION ALL SELECT query_id, node, 0.15 * rank FROM ps) GROUP BY ALL)")
+    return ", ".join([*parts, f"ppr AS (SELECT * FROM r{steps})"])
+
+
+def _ppr_sql(steps: int) -> str:
+    return f"WITH {ppr_ctes(steps=steps)} SELECT query_id, node, round(rank, 8) AS rank FROM ppr WHERE rank > 1e-6"
 
 
 def _ranks(spark, d, small):
@@ -119,19 +127,23 @@ def ppr_nodes_by_joins(spark, d):
     return _ranks(spark, d, 0).where("rank > 1e-6").withColumn("rank", F.round("rank", 8))
 
 
-_ENTITY_FILES = "SELECT DISTINCT entity_id, file FROM mm WHERE file IS NOT NULL"
+#: Documents mention a nation and, if there is one of their number, a supplier.
+_SAID_BY = "sb AS (SELECT doc_id AS key, 101 + doc_id % 25 AS node FROM documents UNION SELECT doc_id, s_suppkey + 1001 FROM documents JOIN supplier ON s_suppkey = doc_id)"
+RANKED_FILES_SQL = f"""{_SAID_BY}, pb AS (SELECT query_id, node, rank FROM ppr WHERE rank > 1e-4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 12) DESC, node) <= 50),
+pf AS (SELECT query_id, key, sum(rank) AS score FROM pb JOIN sb USING (node) GROUP BY ALL), gra AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, key) AS rank FROM pf)"""
+
+
+def mentions(spark, d):
+    """``entity_id, filename``: which document mentions which node of the graph."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("filename"))
+    nations = docs.select((101 + F.col("filename") % 25).cast("long").alias("entity_id"), "filename")
+    suppliers = docs.join(table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("filename")), "filename").select((F.col("filename") + 1001).alias("entity_id"), "filename")
+    return nations.unionByName(suppliers)
 
 
-@CATALOG.query("ppr_files", f"""WITH {_MENTIONS}, ef AS ({_ENTITY_FILES}), k AS (SELECT n_nationkey AS query_id, e.entity_id AS node, 1.0::DOUBLE / (1 + abs(e.entity_id - n_nationkey)) AS rank FROM nation, (SELECT DISTINCT entity_id FROM mm) e),
-b AS (SELECT * FROM k WHERE rank > 1e-4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 12) DESC, node) <= 50), s AS (SELECT query_id, file AS key, sum(rank) AS score FROM b JOIN ef ON entity_id = node GROUP BY ALL)
-SELECT query_id, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, key) AS rank FROM s QUALIFY rank <= 8""")
+@CATALOG.query("ppr_files", f"WITH {ppr_ctes()}, {RANKED_FILES_SQL} SELECT query_id, key, round(score, 6) AS score, rank FROM gra WHERE rank <= 8")
 def ppr_files(spark, d):
-    # Stand-in ranks: the nearer an entity's id to the query's, the higher.
-    nations = [r["n_nationkey"] for r in table(spark, d, "nation").select("n_nationkey").collect()]
-    mentions = table(spark, d, "entity_mentions").select("entity_id", common_file_name("memory_filename").alias("filename")).where("filename IS NOT NULL")
-    entities = table(spark, d, "entity_mentions").select(F.col("entity_id").alias("node")).distinct()
-    ranks = entities.select(F.explode(F.lit(nations)).alias("query_id"), "node").select("query_id", "node", (1.0 / (1 + F.abs(F.col("node") - F.col("query_id")))).alias("rank"))
-    return G.ranked_files(ranks, mentions, 8).withColumn("score", F.round("score", 6))
+    return G.ranked_files(_ranks(spark, d, G.SMALL_GRAPH), mentions(spark, d), 8).withColumn("score", F.round("score", 6))
 
 
 _SEEDS = "seeds AS (SELECT unnest(['ledger', 'open question', 'next step', 'timeouterror']) AS key_low, unnest(['Ledger', 'Question', 'Step', 'TimeoutError']) AS canonical UNION ALL SELECT 'permissiondenied', 'TimeoutError')"
