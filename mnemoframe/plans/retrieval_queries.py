@@ -96,7 +96,7 @@ def rrf_fusion(spark, d):
 
 
 _NAMED = """named AS (SELECT DISTINCT query_id, d.doc_id AS key, 1 AS rank FROM asked a JOIN (SELECT doc_id, regexp_extract(text, '([a-z]+_[a-z_]+_[0-9]{4})', 1) AS stem FROM documents) d
-  ON length(stem) >= 6 AND (regexp_matches(lower(query), '(^|[^a-z0-9-])' || replace(stem, '_', '[_ ]') || '($|[^a-z0-9-])')))"""
+  ON length(stem) >= 6 AND contains(replace(lower(query), '_', ' '), replace(lower(stem), '_', ' ')))"""
 
 
 def _names(spark, d):

@@ -130,12 +130,6 @@ def accumulate_reset(spark, d):
     return out.withColumn("accumulated", F.round("accumulated", 4))
 
 
-@CATALOG.query("debounced_events")
-def debounced_events(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.concat("user_id", F.lit("|"), "event_type").alias("content"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), "props")
-    return state.debounced(rows, F.col("content"), "at", "event_id", F.col("props"), seconds=6 * 3600)
-
-
 @CATALOG.query("incremental_targets", f"WITH m AS (SELECT {name_sql('filename')} AS file, substr(md5(coalesce(name, '') || coalesce(description, '')), 1, 16) AS h, created_at FROM memory_files), o AS (SELECT DISTINCT file, h FROM m WHERE created_at < TIMESTAMPTZ '2026-01-01 00:00:00+00'), c AS (SELECT DISTINCT file, h FROM m) SELECT file, h FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file = c.file AND o.h = c.h)")
 def incremental_targets(spark, d):
     from mnemoframe.functions.text import content_hash
