@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.durable import as_table
 from mnemoframe.functions.scores import DAY, half_decay
 from mnemoframe.functions.text import iso_week, jaccard, looks_like_error, word_set
 from mnemoframe.operators.lexical import top_ranked
@@ -16,6 +17,8 @@ GAP_SECONDS = 600
 RECOVERY_ROWS, RECOVERY_SIMILARITY = 20, 0.3
 SIGNIFICANT = {"accesses": 5, "files": 4, "new": 1, "engine": 3}
 PAIR_SECONDS = 60
+#: Most frequent files whose pairs bound how often the wanted pairs are seen.
+BOUND_FILES = 200
 
 
 def access_stats(access: DataFrame, now: int, file: str = "file", at: str = "ts") -> DataFrame:
@@ -81,11 +84,24 @@ def gap_windows(rows: DataFrame, at: str, gap: int = GAP_SECONDS, by: list[str]
 
 
 def co_access(access: DataFrame, file: str = "file", at: str = "ts", gap: int = GAP_SECONDS, k: int = 20, least: int = 3) -> DataFrame:
-    """``a, b, n``: of the k most frequent pairs of one gap window, those seen at least so often."""
-    windows = gap_windows(access.where(F.col(file).isNotNull()), at, gap)
-    groups = windows.groupBy("window").agg(F.array_sort(F.collect_set(file)).alias("items"))
-    counts = item_pairs(groups.select("items")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "a", "b").limit(k).where(F.col("n") >= least)
+    """``a, b, n``: of the k most frequent pairs of one gap window, those seen at least so often.
+
+    A busy log's windows hold nearly all files, so that not all pairs are counted, only what can be among the k:
+    a pair is seen at most as often as the rarer of its files, and the k-th best pair of the most frequent files
+    is a bound from below. Of files with the same windows the first k + 1 by name are enough, as each
+    pair of a later one has k pairs before it that are seen as often.
+    """
+    rows = access.where(F.col(file).isNotNull()).select(F.col(file).alias("file"), F.col(at).alias("ts"))
+    items = gap_windows(rows, "ts", gap).groupBy("file").agg(F.array_sort(F.collect_set("window")).alias("windows")).where(F.size("windows") >= least)
+    items = as_table(top_ranked(items, k + 1, ["windows"], [F.col("file")]).select("file", "windows", F.size("windows").alias("often")), "co-access")
+
+    def counted(some: DataFrame) -> DataFrame:
+        groups = some.select("file", F.explode("windows").alias("window")).groupBy("window").agg(F.array_sort(F.collect_list("file")).alias("items"))
+        return item_pairs(groups.select("items")).groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(k)
+
+    known = counted(items.orderBy(F.desc("often"), "file").limit(BOUND_FILES)).collect()
+    bound = max(least, known[-1]["n"] if len(known) == k else 0)
+    return counted(items.where(F.col("often") >= bound)).where(F.col("n") >= least)
 
 
 def session_summary(rows: DataFrame, session: str, at: str, tool: str, file: str, k: int = 3) -> DataFrame:
