@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoframe.durable import as_table
 from mnemoframe.functions.scores import RRF_K
 from mnemoframe.operators.lexical import contained_patterns, sized, top_ranked
 
@@ -50,12 +51,12 @@ def filename_votes(queries: DataFrame, files: DataFrame, key: str = "key", name:
     """``query_id, key, rank`` (always 1) for files whose stem of six characters and more is in the query, with ``_`` or spaces.
 
     A stem counts wherever it stands, also within a longer word. Stems are looked up by their
-    grams (:func:`contained_patterns`), so that files times queries never meet.
+    grams (:func:`contained_patterns`), so that files times queries never meet. Names are read once.
     """
     stem = F.regexp_replace(F.lower(F.col(name)), r"\.md$", "")
-    stems = files.select(F.col(key).alias("key"), F.translate(stem, "_", " ").alias("pattern")).where(F.length("pattern") >= STEM_LEAST_CHARS)
+    stems = as_table(files.select(F.col(key).alias("key"), F.translate(stem, "_", " ").alias("pattern")).where(F.length("pattern") >= STEM_LEAST_CHARS), "stems")
     asked = queries.select("query_id", F.translate(F.lower("query"), "_", " ").alias("query"))
-    found = contained_patterns(asked, stems, "query_id", "query")
+    found = as_table(contained_patterns(asked, stems, "query_id", "query"), "named")
     return stems.join(sized(found), "pattern").select("query_id", "key", F.lit(1).alias("rank")).distinct()
 
 
@@ -74,8 +75,10 @@ def hybrid_search(
     ``lexical``, ``dense`` and ``graph`` have ``query_id, key, score``, ``named`` comes from
     :func:`filename_votes`, ``edges`` are co-recall edges, ``factors`` has ``key, factor`` of
     decay and corroboration. A query without dense hits keeps its lexical scores as they are,
-    unless ``rerank`` follows: then it is fused from what there is.
+    unless ``rerank`` follows: then it is fused from what there is. Every lane is computed once, to a table.
     """
+    lexical, dense = as_table(lexical, "lane"), as_table(dense, "lane")
+    graph, named = (as_table(lane, "lane") if lane is not None else None for lane in (graph, named))
     with_dense = dense.select("query_id").distinct()
     fused_lexical = lexical if rerank else lexical.join(with_dense, "query_id", "left_semi")
     lanes = [ranked(fused_lexical), ranked(dense)]

@@ -200,6 +200,15 @@ def ranked_files(ranks: DataFrame, mentions: DataFrame, k: int) -> DataFrame:
     return top_ranked(scored, k, ["query_id"], [F.desc(F.round("score", 10)), F.col("key")])
 
 
+def ranked_files_from(weights: DataFrame, seeds: DataFrame, mentions: DataFrame, k: int) -> DataFrame:
+    """:func:`ranked_files` of the :func:`personalised_rank` from each query's seeds ``query_id, node``; queries with the same seeds are ranked once."""
+    sets = as_table(seeds.groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("node").cast("long"))).alias("nodes")), "seeds")
+    firsts = as_table(sets.groupBy("nodes").agg(F.min("query_id").alias("first")), "seeds")
+    ranks = personalised_rank(weights, firsts.select(F.col("first").alias("query_id"), F.explode("nodes").alias("node")))
+    files = as_table(ranked_files(ranks, mentions, k).withColumnRenamed("query_id", "first"), "graph-lane")
+    return sets.join(firsts, "nodes").select("query_id", "first").join(files, "first").drop("first")
+
+
 #: Keys of other letters than a-z: those that hold any, and what their words are cut at.
 _OTHER, _OTHER_CUT, _PLAIN_CUT = r"[\p{L}\p{N}&&[^a-z0-9]]", r"[^\p{L}\p{N}]+", "[^a-z0-9]+"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemoframe.catalog import Catalog
+from mnemoframe.durable import as_table
 from mnemoframe.operators import fusion
 from mnemoframe.operators import graph as G
 from mnemoframe.plans import graph_queries as Q
@@ -21,7 +22,7 @@ def _graph_lane(spark, d, k=24):
     """``query_id, key, score``: files by the rank of the entities they mention, from the query's nation on."""
     weights = G.edge_weights(V.edges(spark, d), V.NOW)
     seeds = V.asked(spark, d).select("query_id", (101 + F.col("query_id") % 25).cast("long").alias("node"))
-    return G.ranked_files(G.personalised_rank(weights, seeds), Q.mentions(spark, d), k).select("query_id", "key", "score")
+    return G.ranked_files_from(weights, seeds, Q.mentions(spark, d), k).select("query_id", "key", "score")
 
 
 _LANES = f"""{R._TFIDF}, {R._DENSE}, {R._EDGES}, {R._NAMED}, {_GRAPH},
@@ -35,9 +36,9 @@ rr AS (SELECT query_id, key, score, {R._OVERLAP} AS rerank_score FROM pt),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, key) AS rank FROM rr QUALIFY rank <= 8)"""
 
 
-def _reranked(spark, d):
-    """The fused pool of five lanes, reranked; the pool is max(3k, 20) for k = 8."""
-    lexical = R._lexical(spark, d).select("query_id", F.col("doc_id").alias("key"), "score")
+def _reranked(spark, d, ranked=None):
+    """The fused pool of five lanes, reranked; the pool is max(3k, 20) for k = 8. ``ranked`` is the lexical lane, if it is there already."""
+    lexical = (R._lexical(spark, d) if ranked is None else ranked).select("query_id", F.col("doc_id").alias("key"), "score")
     pool = fusion.hybrid_search(lexical, R._dense(spark, d).drop("rank"), _graph_lane(spark, d), R._edges(spark, d), R._names(spark, d), None, 24, rerank=True)
     rows = pool.select("query_id", "key", F.round("score", 10).alias("score")).join(V.asked(spark, d), "query_id")
     return fusion.reranked(rows.join(V.docs(spark, d).select(F.col("doc_id").alias("key"), "name", "description", "body"), "key"))
@@ -58,7 +59,8 @@ fb AS (SELECT query_id, doc_id AS key, round(score, 10) AS score FROM lex WHERE
 SELECT query_id, key, round(score, 6) AS score, 'memory' AS layer FROM good UNION ALL SELECT query_id, key, round(score, 6), 'observer' FROM fb""")
 def prefetched(spark, d):
     """What a prompt gets: hits above the floor, or the fallback's where they are weak and the floor didn't suppress all."""
-    before = _reranked(spark, d)
+    ranked = as_table(R._lexical(spark, d), "lexical")
+    before = as_table(_reranked(spark, d, ranked), "reranked")
     after = before.where(F.col("rerank_score") >= _FLOOR)
-    fallback = R._lexical(spark, d, 3).select("query_id", F.col("doc_id").alias("key"), F.round("score", 10).alias("score"))
+    fallback = ranked.where("rank <= 3").select("query_id", F.col("doc_id").alias("key"), F.round("score", 10).alias("score"))
     return fusion.prompt_hits(after.select("query_id", "key", "score"), fallback, fusion.floor_outcome(before, after)).withColumn("score", F.round("score", 6))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemoframe.catalog import Catalog
+from mnemoframe.durable import as_table
 from mnemoframe.functions import scores as S
 from mnemoframe.functions.text import SEARCH_STOP_WORDS
 from mnemoframe.operators import clusters, fusion, lexical, logs, state, vectors
@@ -141,9 +142,9 @@ al AS (SELECT query_id, key, score * coalesce(factor, 1.0) AS score FROM fu LEFT
 hybrid AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, key) AS rank FROM al QUALIFY rank <= 8)"""
 
 
-def _hybrid(spark, d):
+def _hybrid(spark, d, ranked=None):
     factors = V.docs(spark, d).select(F.col("doc_id").alias("key"), F.when(F.col("weight") == "high", 1.0).when(F.col("weight") == "medium", 0.95).otherwise(0.9).alias("factor"))
-    return fusion.hybrid_search(_lexical(spark, d).select("query_id", F.col("doc_id").alias("key"), "score"), _dense(spark, d).drop("rank"), None, _edges(spark, d), _names(spark, d), factors, 8)
+    return fusion.hybrid_search((_lexical(spark, d) if ranked is None else ranked).select("query_id", F.col("doc_id").alias("key"), "score"), _dense(spark, d).drop("rank"), None, _edges(spark, d), _names(spark, d), factors, 8)
 
 
 @CATALOG.query("hybrid_search", f"WITH {_HYBRID} SELECT query_id, key, round(score, 8) AS score, rank FROM hybrid")
@@ -171,7 +172,7 @@ def reranked(spark, d):
 
 @CATALOG.query("floor_outcomes", f"WITH {_RERANK} SELECT query_id, count(*) AS candidates, count(*) FILTER (rerank_score >= 0.999) AS kept, count(*) FILTER (rerank_score >= 0.999) = 0 AS suppressed_all FROM rk GROUP BY query_id")
 def floor_outcomes(spark, d):
-    before = fusion.reranked(_pool(spark, d))
+    before = as_table(fusion.reranked(_pool(spark, d)), "reranked")
     return fusion.floor_outcome(before, before.where("rerank_score >= 0.999"))
 
 
@@ -221,9 +222,10 @@ strong AS (SELECT query_id FROM hybrid GROUP BY query_id HAVING max(score) >= 0.
 fb AS (SELECT query_id, doc_id AS key, score FROM lex WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM strong))
 SELECT query_id, key, round(score, 6) AS score, 'memory' AS layer FROM good UNION ALL SELECT query_id, key, round(score, 6), 'observer' FROM fb""")
 def prompt_hits(spark, d):
-    fallback = _lexical(spark, d, 3).select("query_id", F.col("doc_id").alias("key"), "score")
+    ranked = as_table(_lexical(spark, d), "lexical")
+    fallback = ranked.where("rank <= 3").select("query_id", F.col("doc_id").alias("key"), "score")
     # Scores are rounded before they order, so that ties are the same everywhere.
-    return fusion.prompt_hits(_hybrid(spark, d).drop("rank").withColumn("score", F.round("score", 12)), fallback).withColumn("score", F.round("score", 6))
+    return fusion.prompt_hits(as_table(_hybrid(spark, d, ranked), "hybrid").drop("rank").withColumn("score", F.round("score", 12)), fallback).withColumn("score", F.round("score", 6))
 
 
 @CATALOG.query("unified_recall", f"""WITH {_TFIDF}, {_DENSE} SELECT query_id, 'notes' AS layer, CAST(doc_id AS VARCHAR) AS key, round(score, 3) AS score, name AS snippet FROM lex JOIN docs USING (doc_id) WHERE rank <= 3
