@@ -214,7 +214,7 @@ pw AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(
 ph AS (SELECT query_id, doc_id, sum((length(lower(body)) - length(replace(lower(body), word, ''))) // length(word)) AS score FROM pw JOIN docs ON contains(lower(body), word) GROUP BY ALL)
 SELECT query_id, doc_id, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ph QUALIFY rank <= 8""")
 def phrase_search(spark, d):
-    return lexical.phrase_search(V.docs(spark, d), V.asked(spark, d)).select("query_id", "doc_id", "score", "rank")
+    return lexical.phrase_search(V.docs(spark, d), V.asked(spark, d), lines=False).select("query_id", "doc_id", "score", "rank")
 
 
 @CATALOG.query("prompt_hits", f"""WITH {_HYBRID}, good AS (SELECT query_id, key, score FROM hybrid WHERE score >= 0.012 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 3),

@@ -37,3 +37,25 @@ def test_equal_documents_come_in_the_order_of_their_keys(spark):
     asked = spark.createDataFrame([(1, "same text"), (2, None), (3, "nothing")], "query_id long, query string")
     assert [(r["query_id"], r["doc_id"], r["rank"]) for r in lexical.tfidf_search(docs, asked, k=3).orderBy("rank").collect()] == [(1, 1, 1), (1, 3, 2), (1, 5, 3)]
     assert lexical.tfidf_search(docs, asked.limit(0)).collect() == [] and lexical.tfidf_search(docs.limit(0), asked).collect() == []
+
+
+def test_phrases_are_counted_within_words_and_without_overlaps(spark):
+    docs = spark.createDataFrame([(1, "banana BANANAS\nanana x"), (2, "ana\tana  ana"), (3, "b a n a"), (4, None), (5, "aaaa aaa")], "doc_id long, body string")
+    asked = spark.createDataFrame([(1, "ana banana ana"), (2, "AAA no"), (3, None)], "query_id long, query string")
+    found = lexical.phrase_search(docs, asked)
+    assert {(r["query_id"], r["doc_id"], r["score"], r["line"], r["rank"]) for r in found.collect()} == {(1, 1, 5, "banana BANANAS", 1), (1, 2, 3, "ana\tana  ana", 2), (2, 5, 2, "aaaa aaa", 1)}
+    # Each text was held against each query's words before, a row for each hit.
+    assert "Generate" not in _plan(lexical.phrase_search(docs, asked, lines=False))
+
+
+def test_drafts_and_files_meet_without_a_row_per_pair(spark):
+    from mnemoframe.operators import upkeep
+
+    text = " ".join(f"w{i}" for i in range(25))
+    files = spark.createDataFrame([(i, "note", "", f"{text} x{i % 3}", "") for i in range(12)], "file long, name string, description string, body string, type string")
+    drafts = spark.createDataFrame([(1, 0, "note", f"{text} x0"), (2, None, "note", f"{text} x1 x1"), (3, None, "note", "too short")], "id long, file long, name string, content string")
+    found = upkeep.write_conflicts(drafts, files)
+    assert {(r["id"], r["file"], r["rank"]) for r in found.where("kind = 'similar'").collect()} == {(2, 1, 1), (2, 4, 2), (2, 7, 3)}
+    assert [(r["id"], r["file"]) for r in found.where("kind = 'exact'").collect()] == [(1, 0)]
+    joins = _plan(found.where("kind = 'similar'")).count("Join")
+    assert joins == 0
