@@ -55,16 +55,27 @@ def deleted(spark: SparkSession, *paths: str) -> None:
         store.delete(where, True)
 
 
-def as_table(df: DataFrame, name: str = "cut") -> DataFrame:
+#: Spark's own setting: an execution's shuffle files go when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def as_table(df: DataFrame, name: str = "cut", freed: bool = False, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to a parquet table in the shared folder and read it back.
 
+    ``freed`` deletes the shuffle files of the writing as soon as it ends. A file has at most ``rows_per_file`` rows, if that isn't 0.
+
     The lineage ends there, so that a lost executor costs nothing. Unlike a checkpointed RDD the
     table is compressed and column-pruned by its readers, has a size that the optimizer
     knows, and doesn't carry the constraints of the plan that made it, which double with every
     round of a loop.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = df.sparkSession.conf.get(_CLEANUP)
+    df.sparkSession.conf.set(_CLEANUP, "true" if freed else before)
+    try:
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    finally:
+        df.sparkSession.conf.set(_CLEANUP, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._mnemoframe_path = path
     return table

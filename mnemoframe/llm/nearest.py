@@ -6,6 +6,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.durable import as_table
+from mnemoframe.durable import as_table, release
 
 #: Vectors on which a model's codebooks are fitted, at most about so many, or so many a centroid if that is more.
 TRAINING_ROWS, ROWS_PER_CENTROID = 20_000, 32
@@ -29,6 +30,10 @@ ROWS_PER_SHARD = 1000
 GROUPS = 256
 #: Cells with entries up to which their order is found for so many queries at once.
 SORTED_CELLS, QUERIES_PER_PASS = 8192, 256
+#: Bytes of query vectors that go to the shards in one pass: so many times those of all vectors, and at least PASS_BYTES.
+PASS_SHARE, PASS_BYTES = 3.0, 64 << 20
+#: Vectors whose ways are followed to see how many shards a query goes to.
+ROUTED_SAMPLE = 2000
 #: Queries of neighbouring cells that are compared with their cells' entries at a time.
 QUERIES_PER_PRODUCT = 64
 
@@ -173,9 +178,8 @@ def centroids_for(rows: int) -> int:
     return int(min(CENTROIDS, max(1, 2 ** round(math.log2(max(1.0, rows / ROWS_PER_CELL)) / 2))))
 
 
-def _fit(classes: DataFrame) -> dict[str, MultiIndex]:
+def _fit(classes: DataFrame, total: int) -> dict[str, MultiIndex]:
     """A multi-index for each model that isn't small, from a sample of bounded size. At most 1 / LEAST_SHARE models have one."""
-    total = classes.count()
     counts = classes.groupBy("model").count().where(F.col("count") >= max(LEAST_ROWS, LEAST_SHARE * total))
     indexes = {}
     for r in counts.toLocalIterator():
@@ -200,26 +204,29 @@ def _cells(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex]) ->
         for model, rows in _by_model(batch):
             if model in indexes:
                 cells[rows] = indexes[model].cells(_unit(_matrix(batch.column(1).take(pa.array(rows)))).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells)], names=["model", "cell"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=["model", "vector", "class", "cell"])
 
 
 _ROUTED = "model string, shard int, kind int, cell bigint, class bigint, vector array<float>, cells array<bigint>"
 
 
-def _routed(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex], candidates: int | None) -> Iterator[pa.RecordBatch]:
-    """Each vector as an entry of its cell's shard (kind 0) and as a query to the shards of the cells it visits (kind 1)."""
+def _routed(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex], candidates: int | None, turn: int = 0, passes: int = 1) -> Iterator[pa.RecordBatch]:
+    """Each vector as an entry of its cell's shard (kind 0) and, if it is its turn, as a query to the shards of the cells it visits (kind 1)."""
     for batch in batches:
         for model, rows in _by_model(batch):
             for lo in range(0, len(rows), QUERIES_PER_PASS):
                 at = rows[lo : lo + QUERIES_PER_PASS]
-                unit = _unit(_matrix(batch.column(2).take(pa.array(at)))).astype(np.float32)
+                own = batch.column(3).to_numpy()[at]
+                spread = _scattered(batch.column(1).to_numpy()[at])
+                asks = np.flatnonzero((spread >> 8) % passes == turn)
+                unit = _unit(_matrix(batch.column(2).take(pa.array(at[asks])))).astype(np.float32) if len(asks) else np.zeros((0, 2), np.float32)
                 index = indexes.get(model) or MultiIndex.trivial(unit.shape[1])
                 if index.sizes is None:
                     index.divide(np.ones(1, np.int64))
-                a, b = index.halves(unit)
-                own = a.argmin(1) * len(index.second) + b.argmin(1)
-                spread = _scattered(batch.column(1).to_numpy()[at])
-                query, cell = index.traverse_all(a, b, candidates or index.candidates())
+                query = cell = np.zeros(0, np.int64)
+                if len(asks):
+                    query, cell = index.traverse_all(*index.halves(unit), candidates or index.candidates())
+                    query = asks[query]
                 shard = index.shard[cell]
                 parts = index.parts[cell]
                 query, cell, shard = np.repeat(query, parts), np.repeat(cell, parts), np.repeat(shard, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -311,25 +318,51 @@ def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["class", "other", "similarity"])
 
 
-def nearest_classes(classes: DataFrame, k: int, candidates: int | None = None) -> DataFrame:
-    """``class, other, similarity``: for each class the k most similar others of each shard it visits, and those tied with the last.
+def passes_for(copies: float, rows: int, row_bytes: float) -> int:
+    """Passes in which queries go to the shards, each to so many on average, so that a pass moves a bounded share of the vectors' bytes."""
+    return max(1, math.ceil(copies * rows * row_bytes / max(PASS_SHARE * rows * row_bytes, PASS_BYTES)))
+
+
+def nearest_classes(classes: DataFrame, k: int, candidates: int | None = None, spent: DataFrame | None = None) -> DataFrame:
+    """``class, other, similarity``: for each class the k most similar others, and those tied with the last.
 
     ``classes`` has ``model, class bigint, vector``; only vectors of one model are compared,
     and all of a model have one length.
+
+    A query goes to every shard that it visits. All at once that is many times the vectors, so that
+    queries go in passes, each with its share of them and all entries; a pass leaves only its lists, as a table, and its shuffle files are
+    deleted when it ends. ``spent`` is a table that is released as soon as the vectors are written again with their cells.
     """
     spark = classes.sparkSession
-    indexes = _fit(classes)
+    total = classes.count()
+    indexes = _fit(classes, total)
     codebooks = spark.sparkContext.broadcast(indexes)
-    cells = classes.select("model", "vector").mapInArrow(lambda it: _cells(it, codebooks.value), "model string, cell bigint")
+    kept = as_table(classes.select("model", "vector", "class").mapInArrow(lambda it: _cells(it, codebooks.value), "model string, vector array<float>, class bigint, cell bigint"), "vector-cells", freed=True)
+    if spent is not None:
+        release(spent)
+    cells = kept.select("model", "cell")
     sizes = {model: np.zeros(len(x.first) * len(x.second), np.int64) for model, x in indexes.items()}
     for r in cells.groupBy("model", "cell").count().where(F.col("model").isin(list(indexes) or [""])).toLocalIterator():
         sizes[r["model"]][r["cell"]] = r["count"]
     for model, index in indexes.items():
         index.divide(sizes[model])
     laid_out = spark.sparkContext.broadcast(indexes)
-    routed = classes.select("model", "class", "vector").mapInArrow(lambda it: _routed(it, laid_out.value, candidates), _ROUTED)
-    sorted_ = routed.repartition("model", "shard").sortWithinPartitions("model", "shard", "kind", "cell")
-    return sorted_.mapInArrow(lambda it: _ranked(it, k), "class bigint, other bigint, similarity double")
+    rows = kept.select("model", "class", "vector", "cell")
+    sample = rows.where(F.pmod(F.xxhash64("class"), F.lit(max(1, total // ROUTED_SAMPLE))) == 0)
+    seen, numbers = sample.agg(F.count("*"), F.sum(F.size("vector"))).first()
+    copies = sample.mapInArrow(lambda it: _routed(it, laid_out.value, candidates), _ROUTED).where("kind = 1").count() / max(1, seen)
+    passes = passes_for(copies, total, 4 * (numbers or 0) / max(1, seen))
+    best = F.rank().over(Window.partitionBy("class").orderBy(F.desc("similarity")))
+
+    def lists(turn: int) -> DataFrame:
+        routed = rows.mapInArrow(lambda it: _routed(it, laid_out.value, candidates, turn, passes), _ROUTED)
+        sorted_ = routed.repartition("model", "shard").sortWithinPartitions("model", "shard", "kind", "cell")
+        found = sorted_.mapInArrow(lambda it: _ranked(it, k), "class bigint, other bigint, similarity double")
+        return as_table(found.withColumn("n", best).where(F.col("n") <= k).drop("n"), "nearest", freed=True)
+
+    found = [lists(turn) for turn in range(passes)]
+    release(kept)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,17 +415,16 @@ def nearest_vectors(rows: DataFrame, id: str, model: str, vector: str, k: int =
     rows = rows.select(F.col(id).cast("string").alias("id"), F.col(model).cast("string").alias("model"), F.col(vector).cast("array<float>").alias("vector")).where("id IS NOT NULL AND model IS NOT NULL")
     named = rows.withColumn("model", F.concat_ws("\x1f", "model", F.size("vector").cast("string"))).mapInArrow(_directions, "id string, model string, vector array<float>, h1 bigint, h2 bigint")
     ordered = named.repartition("model", "h1", "h2").sortWithinPartitions("model", "h1", "h2", "id")
-    table = as_table(ordered.mapInArrow(_classed, "model string, class bigint, n bigint, id string, vector array<float>"), "vector-classes")
-    members = table.select("class", "id")
-    heads = table.where(F.col("n") <= k + 1).select("class", "id")
-    found = nearest_classes(table.where("n = 1").select("model", "class", "vector"), k, candidates)
+    table = as_table(ordered.mapInArrow(_classed, "model string, class bigint, n bigint, id string, vector array<float>"), "vector-classes", freed=True)
+    members = as_table(table.select("class", "n", "id"), "vector-members")
     # Classes tied at the end of the list may hold earlier ids: all of them stay until ids are known.
-    ranked = found.withColumn("n", F.rank().over(Window.partitionBy("class").orderBy(F.desc("similarity")))).where(F.col("n") <= k).drop("n")
+    ranked = nearest_classes(table.where("n = 1").select("model", "class", "vector"), k, candidates, table)
+    heads = members.where(F.col("n") <= k + 1).select("class", "id")
     own = heads.select("class", F.col("id").alias("other_id"), F.lit(1.0).alias("similarity"))
     listed = ranked.join(heads.select(F.col("class").alias("other"), F.col("id").alias("other_id")), "other").select("class", "other_id", "similarity").unionByName(own)
     order = Window.partitionBy("class").orderBy(F.desc("similarity"), "other_id")
     lists = listed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("class", F.col("other_id").alias("other"), "similarity", "n")
-    paired = members.join(lists, "class").where("id <> other")
+    paired = members.drop("n").join(lists, "class").where("id <> other")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("n"))
     return paired.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "other", "similarity", "rank")
 

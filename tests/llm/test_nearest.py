@@ -117,3 +117,26 @@ def test_loss_is_measured_against_the_exact_lists(spark):
     part = nearest.measured_loss(df, found.where("rank < 3"), "id", "model", "vector", 3, every=1).first()
     assert part["found"] == 160 and abs(part["recall"] - 2 / 3) < 1e-12
     assert nearest.measured_loss(df.limit(0), found, "id", "model", "vector", 3).first()["recall"] is None
+
+
+def test_queries_in_passes_find_the_same(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = spark.createDataFrame([(f"f{i:04d}", "m", draw.standard_normal(16).round(3).tolist()) for i in range(1500)], "id string, model string, vector array<float>").repartition(3)
+    want = {(r["id"], r["other"], r["rank"]) for r in nearest.nearest_vectors(rows, "id", "model", "vector").collect()}
+    sizes = []
+
+    monkeypatch.setattr(nearest, "PASS_BYTES", 1)
+    monkeypatch.setattr(nearest, "PASS_SHARE", 0.4)
+    real = nearest.passes_for
+    monkeypatch.setattr(nearest, "passes_for", lambda *a: sizes.append(real(*a)) or sizes[-1])
+    got = nearest.nearest_vectors(rows, "id", "model", "vector")
+    assert {(r["id"], r["other"], r["rank"]) for r in got.collect()} == want and len(want) == 7500
+    assert sizes and sizes[0] > 1  # all queries went at once before
+
+
+def test_a_pass_moves_a_bounded_share():
+    # 12 shards a query: all at once that was 12 times the vectors.
+    n, size = 8_600_000, 512
+    passes = nearest.passes_for(12, n, size)
+    assert passes == 4 and 12 * n * size / passes <= nearest.PASS_SHARE * n * size
+    assert nearest.passes_for(12, 1000, size) == 1 and nearest.passes_for(0, 0, 0) == 1
