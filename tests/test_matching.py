@@ -76,3 +76,13 @@ def test_recent_matches_join_no_rows_by_their_terms(spark):
         want |= {(q["query_id"], r["doc_id"], n + 1) for n, r in enumerate(hits[:3])}
     assert {(r["query_id"], r["doc_id"], r["rank"]) for r in found.collect()} == want and len(want) > 8
     assert lexical.recent_matches(docs, asked.limit(0), "doc_id", "text", "at").collect() == []
+
+
+def test_merged_matches_join_no_rows_by_their_terms(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(50 * i, f"alpha beta row{i}", " Session_Epilogue " if i % 2 else "note", None) for i in range(1, 6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, written_at timestamp").write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.queries()["merged_matches"](spark, str(tmp_path))
+    assert "Generate" not in _plan(found)  # there was a row for each term of each document
+    assert {(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in found.collect()} == {(q * 50, k, s, n) for q in range(1, 6) for k, s, n in ((50, 0.55, 1), (150, 0.55, 2), (250, 0.55, 3))}
