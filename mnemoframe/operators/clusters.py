@@ -31,10 +31,7 @@ def near_duplicates(vectors: DataFrame, files: DataFrame, least: float = NEAR_DU
     names the other as related, and two files of one excluded family. Files with equal
     vectors come as pairs with the first of them.
     """
-    v = vectors.select("key", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    firsts = v.groupBy("vector").agg(F.min("key").alias("first"))
-    copies = v.join(firsts, "vector").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
-    pairs = close_pairs(v, least).unionByName(copies)
+    pairs = close_pairs(vectors, least, copies=True)
     related = files.select("key", F.explode("related").alias("r")).select("key", F.btrim("r").alias("r"))
     said = related.select(F.least("key", "r").alias("a"), F.greatest("key", "r").alias("b")).distinct().withColumn("_said", F.lit(True))
     family = F.lit(False)
