@@ -35,3 +35,17 @@ def test_blocks_have_every_pair_and_shuffle_none(spark, monkeypatch):
                     want[a, b] = round(s, 9)
             got = {(r["a"], r["b"]): round(r["similarity"], 9) for r in found.collect()}
             assert got == want and len(want) >= (4 if least < 0.9 else 1)
+
+
+def _joins_nothing(spark, folder, name):
+    import __spark_entry__ as entry
+
+    rows = [(1, "a b c d e"), (2, "a b c x y"), (3, "a b c d x"), (4, "q r s"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    found = entry.queries()[name](spark, str(folder))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs were joined by their terms before
+    return {(r["a"], r["b"], r["similarity"]) for r in found.collect()}
+
+
+def test_audited_duplicates_join_nothing(spark, tmp_path):
+    assert _joins_nothing(spark, tmp_path, "audit_duplicate_texts") == {(1, 3, 0.8), (2, 3, 0.8)}
