@@ -49,3 +49,7 @@ def _joins_nothing(spark, folder, name):
 
 def test_audited_duplicates_join_nothing(spark, tmp_path):
     assert _joins_nothing(spark, tmp_path, "audit_duplicate_texts") == {(1, 3, 0.8), (2, 3, 0.8)}
+
+
+def test_duplicates_join_nothing(spark, tmp_path):
+    assert _joins_nothing(spark, tmp_path, "duplicate_texts") == {(1, 2, 0.6), (1, 3, 0.8), (2, 3, 0.8)}
