@@ -53,3 +53,19 @@ def test_audited_duplicates_join_nothing(spark, tmp_path):
 
 def test_duplicates_join_nothing(spark, tmp_path):
     assert _joins_nothing(spark, tmp_path, "duplicate_texts") == {(1, 2, 0.6), (1, 3, 0.8), (2, 3, 0.8)}
+
+
+def _rounded_in_tasks(spark, folder, name):
+    import __spark_entry__ as entry
+
+    # Lengths 8 and 16, sum of products 117: 117 / 128 = 0.9140625 lies halfway.
+    terms = [f"t{i}" for i in range(64)]
+    rows = [(1, " ".join(terms)), (2, " ".join(terms + terms[:53] + ["u"] * 5 + ["v", "w"] * 2)), (3, "other")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    found = entry.queries()[name](spark, str(folder))
+    assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString()  # every pair was made a decimal before
+    return {(r["a"], r["b"], r["similarity"]) for r in found.collect()}
+
+
+def test_audited_duplicates_are_rounded_in_tasks(spark, tmp_path):
+    assert _rounded_in_tasks(spark, tmp_path, "audit_duplicate_texts") == {(1, 2, 0.914063)}
