@@ -69,3 +69,7 @@ def _rounded_in_tasks(spark, folder, name):
 
 def test_audited_duplicates_are_rounded_in_tasks(spark, tmp_path):
     assert _rounded_in_tasks(spark, tmp_path, "audit_duplicate_texts") == {(1, 2, 0.914063)}
+
+
+def test_duplicates_are_rounded_in_tasks(spark, tmp_path):
+    assert _rounded_in_tasks(spark, tmp_path, "duplicate_texts") == {(1, 2, 0.914063)}
