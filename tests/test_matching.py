@@ -86,3 +86,27 @@ def test_merged_matches_join_no_rows_by_their_terms(spark, tmp_path):
     found = entry.queries()["merged_matches"](spark, str(tmp_path))
     assert "Generate" not in _plan(found)  # there was a row for each term of each document
     assert {(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in found.collect()} == {(q * 50, k, s, n) for q in range(1, 6) for k, s, n in ((50, 0.55, 1), (150, 0.55, 2), (250, 0.55, 3))}
+
+
+def _ranked_in_tasks(spark, folder, name):
+    """The query's rows; they equal its SQL's, and no text is taken apart into rows of terms, as all were before."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(i, f"alpha beta w{i % 4} row{i}" if i != 100 else "of no row", "note") for i in range(10, 301, 10)] + [(350, None, "note")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i % 7), float(i % 11)], i % 3) for i in range(1, 121)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    found = entry.queries()[name](spark, str(folder))
+    assert "regexp_extract_all" not in _plan(found)
+    with duckdb.connect() as db:
+        for table in ("documents", "embeddings"):
+            db.execute(f"CREATE VIEW {table} AS FROM '{folder}/{table}.parquet/*.parquet'")
+        want = db.sql(f"SELECT {', '.join(found.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    return got
+
+
+def test_floor_suite_ranks_in_tasks(spark, tmp_path):
+    assert {r[:2] for r in _ranked_in_tasks(spark, tmp_path, "floor_suite")} == {(i, i < 350) for i in range(50, 351, 50)}
