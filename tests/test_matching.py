@@ -110,3 +110,7 @@ def _ranked_in_tasks(spark, folder, name):
 
 def test_floor_suite_ranks_in_tasks(spark, tmp_path):
     assert {r[:2] for r in _ranked_in_tasks(spark, tmp_path, "floor_suite")} == {(i, i < 350) for i in range(50, 351, 50)}
+
+
+def test_run_summary_ranks_in_tasks(spark, tmp_path):
+    assert [r[:3] for r in _ranked_in_tasks(spark, tmp_path, "run_summary")] == [(7, 6, 1)]
