@@ -114,3 +114,10 @@ def test_floor_suite_ranks_in_tasks(spark, tmp_path):
 
 def test_run_summary_ranks_in_tasks(spark, tmp_path):
     assert [r[:3] for r in _ranked_in_tasks(spark, tmp_path, "run_summary")] == [(7, 6, 1)]
+
+
+def test_run_difference_ranks_in_tasks(spark, tmp_path, monkeypatch):
+    from mnemoframe.plans import quality_queries
+
+    monkeypatch.setattr(quality_queries, "as_table", lambda df, *_: df, raising=False)  # its plan is that of the ranking then
+    assert {r[1] for r in _ranked_in_tasks(spark, tmp_path, "run_difference")} >= {"regression", "new pass"}
