@@ -121,3 +121,7 @@ def test_run_difference_ranks_in_tasks(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(quality_queries, "as_table", lambda df, *_: df, raising=False)  # its plan is that of the ranking then
     assert {r[1] for r in _ranked_in_tasks(spark, tmp_path, "run_difference")} >= {"regression", "new pass"}
+
+
+def test_unified_recall_ranks_in_tasks(spark, tmp_path):
+    assert {r[1] for r in _ranked_in_tasks(spark, tmp_path, "unified_recall")} == {"notes", "vectors"}
