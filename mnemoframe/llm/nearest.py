@@ -6,15 +6,16 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.durable import as_table, release
+from mnemoframe.durable import as_table, entries_of, qualified, release
 
 #: Vectors on which a model's codebooks are fitted, at most about so many, or so many a centroid if that is more.
 TRAINING_ROWS, ROWS_PER_CENTROID = 20_000, 32
@@ -24,18 +25,16 @@ ROWS_PER_CELL, CENTROIDS = 1, 2048
 CANDIDATES_PER_ROOT, LEAST_CANDIDATES = 4.0, 1000
 #: Models with fewer vectors, or with a smaller share of all, have one cell: all of their vectors are compared.
 LEAST_ROWS, LEAST_SHARE = 1000, 1e-4
-#: Entries of cells that lie in one shard.
-ROWS_PER_SHARD = 1000
-#: Most groups of neighbouring cells.
-GROUPS = 256
+#: Entries of a shard, at most about so many and, where that is less, a SHARDS-th of all or LEAST_PER_SHARD.
+ROWS_PER_SHARD, SHARDS, LEAST_PER_SHARD = 16_384, 24, 1000
 #: Cells with entries up to which their order is found for so many queries at once.
-SORTED_CELLS, QUERIES_PER_PASS = 8192, 256
-#: Bytes of query vectors that go to the shards in one pass: so many times those of all vectors, and at least PASS_BYTES.
+SORTED_CELLS, QUERIES_PER_PASS = 2048, 256
+#: Bytes of vectors that are laid out in shards in one pass: so many times those of all vectors, and at least PASS_BYTES.
 PASS_SHARE, PASS_BYTES = 3.0, 64 << 20
-#: Vectors whose ways are followed to see how many shards a query goes to.
-ROUTED_SAMPLE = 2000
-#: Queries of neighbouring cells that are compared with their cells' entries at a time.
-QUERIES_PER_PRODUCT = 64
+#: A cell of so many entries is multiplied with its queries if it has so many pairs with them; others go pair by pair, so many at a time.
+ROWS_PER_PRODUCT, PAIRS_PER_PRODUCT, PAIRS_AT_ONCE = 4, 1024, 1024
+#: Scores that a task holds at a time, and the candidates of the queries whose visits are found at a time.
+SCORES, VISITS = 1 << 20, 1 << 25
 
 
 def usable_vector(vector: Column | str, dim: Column | str) -> Column:
@@ -76,14 +75,13 @@ def _k_means(points: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 @dataclass
 class MultiIndex:
-    """An inverted multi-index of one model: a codebook for each half, and the cells' sizes and shards."""
+    """An inverted multi-index of one model: a codebook for each half, the cells' sizes, and into how many parts large cells are laid."""
 
     first: np.ndarray
     second: np.ndarray
     sizes: np.ndarray | None = None
-    shard: np.ndarray | None = None
-    parts: np.ndarray | None = None
     full: np.ndarray | None = None
+    parts: dict[int, int] | None = None
 
     @classmethod
     def fitted(cls, vectors: np.ndarray, rows: int) -> MultiIndex:
@@ -91,12 +89,16 @@ class MultiIndex:
         unit = _unit(vectors).astype(np.float32)
         half = max(1, unit.shape[1] // 2)
         k = centroids_for(rows)
-        return cls(_k_means(unit[:, :half], k), _k_means(unit[:, half:], k) if unit.shape[1] > half else np.zeros((1, 0), np.float32))
+        index = cls(_k_means(unit[:, :half], k), _k_means(unit[:, half:], k) if unit.shape[1] > half else np.zeros((1, 0), np.float32))
+        cells, counts = np.unique(np.concatenate([index.cells(unit[lo : lo + 4096]) for lo in range(0, len(unit), 4096)]), return_counts=True)
+        parts = np.ceil(counts * (rows / len(unit) / ROWS_PER_SHARD)).astype(int)
+        index.parts = dict(zip(cells[parts > 1].tolist(), parts[parts > 1].tolist()))
+        return index
 
     @classmethod
     def trivial(cls, dim: int) -> MultiIndex:
-        """One cell; all shards have all of it in parts."""
-        return cls(np.zeros((1, max(1, dim // 2)), np.float32), np.zeros((1, dim - max(1, dim // 2)), np.float32))
+        """One cell."""
+        return cls(np.zeros((1, max(1, dim // 2)), np.float32), np.zeros((1, dim - max(1, dim // 2)), np.float32), np.ones(1, np.int32), np.zeros(1, np.int64))
 
     def halves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of unit vectors to the centroids of either half."""
@@ -108,25 +110,8 @@ class MultiIndex:
         return a.argmin(1) * len(self.second) + b.argmin(1)
 
     def divide(self, sizes: np.ndarray) -> None:
-        """Lays the cells, which have these sizes, out in shards of neighbouring cells.
-
-        Cells are grouped by their centroids' distances; a group that is too large for a shard is cut in the order of its
-        cells, and a cell that is larger than a shard has several, its ``parts``.
-        """
-        self.sizes, width = sizes, len(self.second)
-        full = self.full = np.flatnonzero(sizes)
-        centers = np.concatenate([self.first[full // width], self.second[full % width]], axis=1)
-        n = int(min(GROUPS, max(1, sizes.sum() // ROWS_PER_SHARD)))
-        middles = _k_means(centers[:: max(1, len(full) // TRAINING_ROWS)], n)
-        group = np.concatenate([_distances(centers[lo : lo + 4096], middles).argmin(1) for lo in range(0, len(full), 4096)] or [np.zeros(0, np.int64)])
-        self.shard, self.parts, shards = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32), 0
-        for g in range(n):
-            own = full[group == g]
-            rows = int(sizes[own].sum())
-            cuts = max(1, round(rows / ROWS_PER_SHARD))
-            self.shard[own] = shards + (np.cumsum(sizes[own]) - sizes[own]) * cuts // max(1, rows)
-            self.parts[own] = np.maximum(1, sizes[own] * cuts // max(1, rows))
-            shards += cuts
+        """Takes the cells' sizes."""
+        self.sizes, self.full = sizes, np.flatnonzero(sizes)
 
     def candidates(self) -> int:
         """Entries that a traversal of this index reaches by default."""
@@ -160,17 +145,56 @@ class MultiIndex:
     def traverse_all(self, a: np.ndarray, b: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, cell) of what all queries visit, as :meth:`traverse` has it.
 
-        Where few cells have entries, their order is found for many queries at once, which is what
-        their heaps would come to; else each query has its heap.
+        Where few cells have entries, their order is found for many queries at once. Else each query sorts the pairs of
+        centroids up to a summed distance, which is raised until their cells have enough entries. Both give what the heap gives, but for ties.
         """
-        if len(self.full) > SORTED_CELLS:
-            visits = [self.traverse(x, y, candidates) for x, y in zip(a, b)]
-            return np.repeat(np.arange(len(a)), [len(v) for v in visits]), np.array([c for v in visits for c in v], np.int64)
-        sums = a[:, self.full // len(self.second)] + b[:, self.full % len(self.second)]
-        order = np.argsort(sums, axis=1, kind="stable")
-        sizes = self.sizes[self.full][order]
-        query, at = np.nonzero(np.cumsum(sizes, axis=1) - sizes < candidates)
-        return query, self.full[order[query, at]]
+        width = len(self.second)
+        if len(self.full) <= SORTED_CELLS:
+            sums = a[:, self.full // width] + b[:, self.full % width]
+            order = np.argsort(sums, axis=1, kind="stable")
+            sizes = self.sizes[self.full][order]
+            query, at = np.nonzero(np.cumsum(sizes, axis=1) - sizes < candidates)
+            return query, self.full[order[query, at]]
+        a, b = a.astype(np.float64), b.astype(np.float64)
+        rows, columns = np.argsort(a, axis=1), np.argsort(b, axis=1)
+        da, db = np.take_along_axis(a, rows, 1), np.take_along_axis(b, columns, 1)
+        visited, reach, usual = [], 0.0, 4 * candidates
+        for r, c, x, y in zip(rows, columns, da, db):
+            least, trials = x[0] + y[0], 0
+            reach = reach or max(1e-9, (x[-1] + y[-1] - least) / 8)
+            while True:
+                last = least + reach
+                wide = np.searchsorted(y, last - x[: np.searchsorted(x, last - y[0], side="right")], side="right")
+                pairs = int(wide.sum())
+                trials += 1
+                if pairs > 2 * usual and trials < 5:  # many more than the query before
+                    reach *= max(0.5, (1.3 * usual / pairs) ** 0.25)
+                    continue
+                trials = 5
+                i = np.repeat(np.arange(len(wide)), wide)
+                j = np.arange(pairs) - (np.cumsum(wide) - wide).take(i)
+                cell = r.take(i) * width + c.take(j)
+                sizes = self.sizes.take(cell)
+                whole = pairs == len(x) * len(y)
+                if whole or sizes.sum() >= candidates:
+                    there = np.flatnonzero(sizes)
+                    sums = x.take(i.take(there)) + y.take(j.take(there))
+                    order = np.argsort(sums)
+                    sizes = sizes.take(there.take(order))
+                    n = int(np.searchsorted(np.cumsum(sizes) - sizes, candidates))
+                    # The last ones could have come before pairs that rounding left out.
+                    if whole or sums[order[n - 1]] < last - 1e-12 * abs(last):
+                        break
+                reach *= 1.1
+            visited.append(cell.take(there.take(order[:n])))
+            if n:
+                reach, usual = 1.06 * max(sums[order[n - 1]] - least, 1e-9), max(16, pairs * n // len(order))
+        return np.repeat(np.arange(len(a)), [len(v) for v in visited]), np.concatenate(visited or [np.zeros(0, np.int64)])
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... of so many numbers each, in one array."""
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 def centroids_for(rows: int) -> int:
@@ -198,128 +222,217 @@ def _by_model(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
         yield model, np.flatnonzero(indices == code)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cells = np.zeros(batch.num_rows, np.int64)
-        for model, rows in _by_model(batch):
-            if model in indexes:
-                cells[rows] = indexes[model].cells(_unit(_matrix(batch.column(1).take(pa.array(rows)))).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=["model", "vector", "class", "cell"])
+def _scattered(n: np.ndarray) -> np.ndarray:
+    return ((n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
 
-_ROUTED = "model string, shard int, kind int, cell bigint, class bigint, vector array<float>, cells array<bigint>"
+_LAID = "model string, class bigint, cell bigint, part int, vector binary"
 
 
-def _routed(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex], candidates: int | None, turn: int = 0, passes: int = 1) -> Iterator[pa.RecordBatch]:
-    """Each vector as an entry of its cell's shard (kind 0) and, if it is its turn, as a query to the shards of the cells it visits (kind 1)."""
+def _cells(batches: Iterator[pa.RecordBatch], indexes: dict[str, MultiIndex]) -> Iterator[pa.RecordBatch]:
+    """Each vector as bytes with its cell, and its part of a cell that is larger than a shard."""
     for batch in batches:
+        cells, parts = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
+        classes = batch.column(2).to_numpy()
         for model, rows in _by_model(batch):
-            for lo in range(0, len(rows), QUERIES_PER_PASS):
-                at = rows[lo : lo + QUERIES_PER_PASS]
-                own = batch.column(3).to_numpy()[at]
-                spread = _scattered(batch.column(1).to_numpy()[at])
-                asks = np.flatnonzero((spread >> 8) % passes == turn)
-                unit = _unit(_matrix(batch.column(2).take(pa.array(at[asks])))).astype(np.float32) if len(asks) else np.zeros((0, 2), np.float32)
-                index = indexes.get(model) or MultiIndex.trivial(unit.shape[1])
-                if index.sizes is None:
-                    index.divide(np.ones(1, np.int64))
-                query = cell = np.zeros(0, np.int64)
-                if len(asks):
-                    query, cell = index.traverse_all(*index.halves(unit), candidates or index.candidates())
-                    query = asks[query]
-                shard = index.shard[cell]
-                parts = index.parts[cell]
-                query, cell, shard = np.repeat(query, parts), np.repeat(cell, parts), np.repeat(shard, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-                order = np.lexsort((cell, shard, query))
-                query, cell, shard = query[order], cell[order], shard[order]
-                new = np.ones(len(query), bool)
-                new[1:] = (query[1:] != query[:-1]) | (shard[1:] != shard[:-1])
-                first = np.flatnonzero(new)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(len(at), np.int64), first, [len(cell)]]).astype(np.int32)), pa.array(cell))
-                pick = pa.array(at[np.concatenate([np.arange(len(at)), query[first]])])
-                kind = np.concatenate([np.zeros(len(at), np.int32), np.ones(len(first), np.int32)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pick), pa.array(np.concatenate([index.shard[own] + spread % index.parts[own], shard[first]]).astype(np.int32)), pa.array(kind),
-                        pa.array(np.concatenate([own, cell[first]])), batch.column(1).take(pick), batch.column(2).take(pick), lists,
-                    ],
-                    names=["model", "shard", "kind", "cell", "class", "vector", "cells"],
-                )
-
-
-def _scattered(n: np.ndarray) -> np.ndarray:
-    return ((n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
-
-
-class _Shard:
-    """The entries of a shard in the order of their cells."""
-
-    def __init__(self, unit: np.ndarray, classes: np.ndarray, cells: np.ndarray) -> None:
-        self.unit, self.classes = unit, classes
-        self.coarse = unit.astype(np.float32)
-        self.cells, self.begin, self.count = np.unique(cells, return_index=True, return_counts=True)
+            if model in indexes:
+                for lo in range(0, len(rows), 2048):
+                    at = rows[lo : lo + 2048]
+                    cells[at] = indexes[model].cells(_unit(_matrix(batch.column(1).take(pa.array(at)))).astype(np.float32))
+                for cell, n in indexes[model].parts.items():
+                    at = rows[cells[rows] == cell]
+                    parts[at] = _scattered(classes[at]) % n
+        values = batch.column(1).flatten().to_numpy().astype(np.float32, copy=False)
+        ends = 4 * (batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py())
+        vectors = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cells), pa.array(parts), vectors], names=["model", "class", "cell", "part", "vector"])
 
-    def nearest(self, unit: np.ndarray, own: np.ndarray, cells: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``class, other, similarity``: for each query the k nearest entries of its cells, and those tied with the last.
 
-        The entries of all cells that the queries visit are multiplied with all of them in single
-        precision; what isn't in a query's own cells is left out. The nearest are compared in double precision.
+@dataclass
+class _Entries:
+    """One model's vectors of a shard, in the order of their cells."""
+
+    vectors: np.ndarray
+    classes: np.ndarray
+    cells: np.ndarray
+    begin: np.ndarray
+    count: np.ndarray
+
+
+def _shard(store, path: str, models: set[str] | None = None) -> Iterator[tuple[str, _Entries]]:
+    """The models of a shard's file, or those of them that are in ``models``."""
+    with store.open_input_file(path) as f:
+        file = pq.ParquetFile(f)
+        if not file.metadata.num_rows:
+            return
+        names = file.read(columns=["model"]).column(0).combine_chunks().dictionary_encode()
+        if models is not None and models.isdisjoint(names.dictionary.to_pylist()):
+            return
+        rows = file.read(columns=["class", "cell", "vector"]).combine_chunks()
+    codes, classes, cells = names.indices.to_numpy(), rows["class"].to_numpy(), rows["cell"].to_numpy()
+    vectors = pa.concat_arrays(rows["vector"].chunks)
+    ends = np.frombuffer(vectors.buffers()[1], np.int32, len(codes) + 1, 4 * vectors.offset)
+    values = np.frombuffer(vectors.buffers()[2], np.float32, ends[-1] // 4)
+    bounds = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+    for lo, hi in zip(bounds, bounds[1:]):
+        name = names.dictionary[int(codes[lo])].as_py()
+        if models is None or name in models:
+            begin = np.concatenate([[0], np.flatnonzero(np.diff(cells[lo:hi])) + 1])
+            yield name, _Entries(values[ends[lo] // 4 : ends[hi] // 4].reshape(hi - lo, -1), classes[lo:hi], cells[lo + begin], begin, np.diff([*begin, hi - lo]))
+
+
+def _coarse(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision."""
+    with np.errstate(over="ignore", under="ignore", divide="ignore", invalid="ignore"):
+        norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
+        unit = vectors / norms[:, None]
+    far = np.flatnonzero(~((norms > 1e-15) & (norms < 1e15)))
+    if len(far):
+        unit[far] = _unit(vectors[far])
+    return unit
+
+
+class _Queries:
+    """Queries of one model in a shard, with the cells that they visit and the nearest entries so far."""
+
+    def __init__(self, classes: np.ndarray, vectors: np.ndarray, index: MultiIndex, candidates: int, k: int) -> None:
+        self.own, self.k, n = classes, k, len(classes)
+        self.unit = _unit(vectors)
+        self.coarse = self.unit.astype(np.float32)
+        self.margin = 1e-6 * math.sqrt(self.unit.shape[1])
+        bits, visits = n.bit_length(), []
+        for lo in range(0, n, QUERIES_PER_PASS):
+            query, cell = index.traverse_all(*index.halves(self.coarse[lo : lo + QUERIES_PER_PASS]), candidates)
+            visits.append(cell.astype(np.int64) << bits | query + lo)
+        keys = np.concatenate(visits)
+        del visits
+        keys.sort()
+        self.query = (keys & ((1 << bits) - 1)).astype(np.int32)
+        keys >>= bits
+        self.begin = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1]) if len(keys) else np.zeros(0, np.int64)
+        self.cells, self.count = keys[self.begin], np.diff([*self.begin, len(keys)])
+        self.bar = np.full(n, -np.inf, np.float32)
+        self.best, self.news, self.waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+    def meet(self, entries: _Entries, coarse: np.ndarray) -> None:
+        """Compares the queries with the entries of the cells that they visit.
+
+        Single precision decides what can't be among the nearest; the others are compared in double precision.
         """
-        of = np.repeat(np.arange(len(own)), sizes)
-        there = np.searchsorted(self.cells, cells)
-        there = np.minimum(there, len(self.cells) - 1)
-        real = self.cells[there] == cells
-        of, there = of[real], there[real]
-        wanted = np.unique(there)
-        counts = self.count[wanted]
-        entry = np.repeat(self.begin[wanted] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        visits = np.zeros((len(own), len(wanted)), bool)
-        visits[of, np.searchsorted(wanted, there)] = True
-        scores = unit.astype(np.float32) @ self.coarse[entry].T
-        scores[~np.repeat(visits, counts, axis=1)] = -np.inf
-        scores[self.classes[entry][None, :] == own[:, None]] = -np.inf
-        if not scores.shape[1]:
-            return own[:0], own[:0], np.zeros(0)
-        last = scores.shape[1] - min(k, scores.shape[1])
-        margin = 4e-7 * math.sqrt(unit.shape[1])
-        q, e = np.nonzero((scores >= np.partition(scores, last, axis=1)[:, last : last + 1] - margin) & np.isfinite(scores))
-        exact = np.einsum("nd,nd->n", unit[q], self.unit[entry[e]])
-        return own[q], self.classes[entry[e]], np.round(np.minimum(exact, 1.0), 12)
-
-
-def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by model, shard, kind and cell, entries before queries; each query's nearest entries go out."""
-    key, entries, shard = None, [], None
-    for batch in batches:
-        models, shards, kinds = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        change = np.flatnonzero((np.diff(models) != 0) | (np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
-        bounds = [0, *change.tolist(), batch.num_rows] if batch.num_rows else []
-        out = []
-        for lo, hi in zip(bounds, bounds[1:]):
-            part = batch.slice(lo, hi - lo)
-            name = (part.column(0)[0].as_py(), int(shards[lo]))
-            if name != key:
-                key, entries, shard = name, [], None
-            unit = _unit(_matrix(part.column(5)))
-            if kinds[lo] == 0:
-                entries.append((unit, part.column(4).to_numpy(), part.column(3).to_numpy()))
-                continue
-            if not entries:
-                continue
-            if shard is None:
-                shard = _Shard(*(np.concatenate(x) for x in zip(*entries)))
-            own, lists = part.column(4).to_numpy(), part.column(6)
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            cells, sizes, ends = lists.flatten().to_numpy(), np.diff(ends), ends - ends[0]
-            for at in range(0, len(own), QUERIES_PER_PRODUCT):
-                to = min(len(own), at + QUERIES_PER_PRODUCT)
-                out.append(shard.nearest(unit[at:to], own[at:to], cells[ends[at] : ends[to]], sizes[at:to], k))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["class", "other", "similarity"])
+        if not len(self.cells):
+            return
+        at = np.minimum(np.searchsorted(self.cells, entries.cells), len(self.cells) - 1)
+        real = np.flatnonzero(self.cells[at] == entries.cells)
+        at, begin, count = at[real], entries.begin[real], entries.count[real]
+        if not len(at):
+            return
+        found, held = [], 0
+        whole = (count >= ROWS_PER_PRODUCT) & (count * self.count[at] >= PAIRS_PER_PRODUCT)
+
+        def keep(query: np.ndarray, entry: np.ndarray, score: np.ndarray) -> None:
+            nonlocal found, held
+            other = entries.classes[entry] != self.own[query]
+            found.append((query[other], entry[other], score[other]))
+            held += len(query)
+            if held > SCORES:
+                self._compare(entries, found)
+                found, held = [], 0
+
+        for place, lo, n in zip(at[whole].tolist(), begin[whole].tolist(), count[whole].tolist()):
+            those, asks = coarse[lo : lo + n].T, self.query[self.begin[place] : self.begin[place] + self.count[place]]
+            step = max(1, SCORES // n)
+            for q in (asks[i : i + step] for i in range(0, len(asks), step)):
+                scores = self.coarse[q] @ those
+                row, column = np.nonzero(scores >= self.bar[q][:, None])
+                if len(row):
+                    keep(q[row], column + lo, scores[row, column])
+        at, begin, count = at[~whole], begin[~whole], count[~whole]
+        if len(at):
+            visits = self.count[at]
+            asks, begin, count = self.query[_ranges(self.begin[at], visits)], np.repeat(begin, visits), np.repeat(count, visits)
+            pairs = np.cumsum(count)
+            cuts = [0, *np.unique(np.searchsorted(pairs, np.arange(SCORES, pairs[-1], SCORES))).tolist(), len(asks)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                query, entry = np.repeat(asks[lo:hi], count[lo:hi]), _ranges(begin[lo:hi], count[lo:hi])
+                scores = self._products(coarse, query, entry)
+                hit = np.flatnonzero(scores >= self.bar[query])
+                if len(hit):
+                    keep(query[hit], entry[hit], scores[hit])
+        if found:
+            self._compare(entries, found)
+
+    def _products(self, coarse: np.ndarray, query: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        scores = np.empty(len(query), np.float32)
+        one, two = (np.empty((PAIRS_AT_ONCE, coarse.shape[1]), np.float32) for _ in range(2))
+        for lo in range(0, len(query), PAIRS_AT_ONCE):
+            n = min(PAIRS_AT_ONCE, len(query) - lo)
+            np.take(self.coarse, query[lo : lo + n], axis=0, out=one[:n], mode="clip")
+            np.take(coarse, entry[lo : lo + n], axis=0, out=two[:n], mode="clip")
+            np.vecdot(one[:n], two[:n], out=scores[lo : lo + n])
+        return scores
+
+    def _compare(self, entries: _Entries, found: list) -> None:
+        query, entry, score = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-score, query))
+        query, entry, score = query[order], entry[order], score[order]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        sizes = np.diff([*first, len(query)])
+        last = np.where(sizes >= self.k, score[first + np.minimum(sizes, self.k) - 1], -np.inf)
+        near = score >= np.repeat(last, sizes) - 2 * self.margin
+        query, entry = query[near].astype(np.int64), entry[near]
+        if not len(query):
+            return
+        those, spot = np.unique(entry, return_inverse=True)
+        unit, exact = _unit(entries.vectors[those]), np.empty(len(query))
+        for lo in range(0, len(query), PAIRS_AT_ONCE):
+            part = slice(lo, lo + PAIRS_AT_ONCE)
+            exact[part] = np.einsum("nd,nd->n", self.unit[query[part]], unit[spot[part]])
+        self.news.append((query, entries.classes[entry], np.round(np.minimum(exact, 1.0), 12)))
+        self.waiting += len(query)
+        if self.waiting > len(self.own):
+            self._settle()
+
+    def _settle(self) -> None:
+        """Cuts the lists to the k nearest and those tied with the last."""
+        query, other, exact = (np.concatenate(x) for x in zip(self.best, *self.news))
+        order = np.lexsort((-exact, query))
+        query, other, exact = query[order], other[order], exact[order]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        sizes = np.diff([*first, len(query)])
+        last = np.where(sizes >= self.k, exact[first + np.minimum(sizes, self.k) - 1], -np.inf)
+        stay = exact >= np.repeat(last, sizes)
+        self.best, self.news, self.waiting = (query[stay], other[stay], exact[stay]), [], 0
+        self.bar[query[first]] = last - self.margin
+
+    def rows(self) -> pa.RecordBatch:
+        self._settle()
+        query, other, exact = self.best
+        return pa.RecordBatch.from_arrays([pa.array(self.own[query]), pa.array(other), pa.array(exact)], names=["class", "other", "similarity"])
+
+
+def _searched(turns: Iterator[pa.RecordBatch], paths: list[str], indexes: dict[str, MultiIndex], candidates: int | None, k: int) -> Iterator[pa.RecordBatch]:
+    """The nearest of each vector of a shard: it reads the shards one after another, its own first."""
+    store, _ = pa.fs.FileSystem.from_uri(paths[0])
+    files = [pa.fs.FileSystem.from_uri(p)[1] for p in paths]
+    for turn in (n for batch in turns for n in batch.column(0).to_pylist()):
+        asked: dict[str, list[_Queries]] = {}
+        for model, own in _shard(store, files[turn]):
+            index = indexes.get(model) or MultiIndex.trivial(own.vectors.shape[1])
+            n = candidates or index.candidates()
+            step = max(1, min(ROWS_PER_SHARD, VISITS // n))
+            asked[model] = [_Queries(own.classes[lo : lo + step], own.vectors[lo : lo + step], index, n, k) for lo in range(0, len(own.classes), step)]
+        for file in (files[turn:] + files[:turn]) if asked else []:
+            for model, entries in _shard(store, file, set(asked)):
+                coarse = _coarse(entries.vectors)
+                for one in asked[model]:
+                    one.meet(entries, coarse)
+        for own in asked.values():
+            for one in own:
+                yield one.rows()
 
 
 def passes_for(copies: float, rows: int, row_bytes: float) -> int:
-    """Passes in which queries go to the shards, each to so many on average, so that a pass moves a bounded share of the vectors' bytes."""
+    """Passes in which vectors go to the shards, each to so many on average, so that a pass moves a bounded share of the vectors' bytes."""
     return max(1, math.ceil(copies * rows * row_bytes / max(PASS_SHARE * rows * row_bytes, PASS_BYTES)))
 
 
@@ -329,40 +442,42 @@ def nearest_classes(classes: DataFrame, k: int, candidates: int | None = None, s
     ``classes`` has ``model, class bigint, vector``; only vectors of one model are compared,
     and all of a model have one length.
 
-    A query goes to every shard that it visits. All at once that is many times the vectors, so that
-    queries go in passes, each with its share of them and all entries; a pass leaves only its lists, as a table, and its shuffle files are
-    deleted when it ends. ``spent`` is a table that is released as soon as the vectors are written again with their cells.
+    The vectors are laid out once, in files of whole cells, the shards. A task has a shard's vectors as queries: it finds the cells that each
+    visits, reads all shards itself and compares a cell's entries with the queries that visit it, so that a query is neither shuffled to
+    the cells it visits nor compared with others. ``spent`` is a table that is released as soon as the vectors are laid out.
     """
     spark = classes.sparkSession
-    total = classes.count()
+    total, numbers = classes.agg(F.count("*"), F.sum(F.size("vector"))).first()
     indexes = _fit(classes, total)
     codebooks = spark.sparkContext.broadcast(indexes)
-    kept = as_table(classes.select("model", "vector", "class").mapInArrow(lambda it: _cells(it, codebooks.value), "model string, vector array<float>, class bigint, cell bigint"), "vector-cells", freed=True)
+    rows = max(1, min(ROWS_PER_SHARD, max(LEAST_PER_SHARD, -(-total // SHARDS))))
+    passes = passes_for(1, total, 4 * (numbers or 0) / max(1, total))
+    shards = max(1, -(-total // (rows * passes)))
+
+    def laid_out(turn: int) -> DataFrame:
+        own = classes.where(F.pmod(F.xxhash64("class"), F.lit(passes)) == turn) if passes > 1 else classes
+        cells = own.select("model", "vector", "class").mapInArrow(lambda it: _cells(it, codebooks.value), _LAID)
+        return as_table(cells.repartition(shards, "model", "cell", "part").sortWithinPartitions("model", "cell"), "vector-shards", freed=True, rows_per_file=2 * rows)
+
+    tables = [laid_out(turn) for turn in range(passes)]
     if spent is not None:
         release(spent)
-    cells = kept.select("model", "cell")
-    sizes = {model: np.zeros(len(x.first) * len(x.second), np.int64) for model, x in indexes.items()}
-    for r in cells.groupBy("model", "cell").count().where(F.col("model").isin(list(indexes) or [""])).toLocalIterator():
-        sizes[r["model"]][r["cell"]] = r["count"]
+    sizes = {model: np.zeros(len(x.first) * len(x.second), np.int32) for model, x in indexes.items()}
+    for table in tables:
+        for batch in table.groupBy("model", "cell").count().where(F.col("model").isin(list(indexes) or [""])).toArrow().to_batches():
+            for model, at in _by_model(batch):
+                np.add.at(sizes[model], batch.column(1).to_numpy()[at], batch.column(2).to_numpy()[at].astype(np.int32))
     for model, index in indexes.items():
         index.divide(sizes[model])
-    laid_out = spark.sparkContext.broadcast(indexes)
-    rows = kept.select("model", "class", "vector", "cell")
-    sample = rows.where(F.pmod(F.xxhash64("class"), F.lit(max(1, total // ROUTED_SAMPLE))) == 0)
-    seen, numbers = sample.agg(F.count("*"), F.sum(F.size("vector"))).first()
-    copies = sample.mapInArrow(lambda it: _routed(it, laid_out.value, candidates), _ROUTED).where("kind = 1").count() / max(1, seen)
-    passes = passes_for(copies, total, 4 * (numbers or 0) / max(1, seen))
-    best = F.rank().over(Window.partitionBy("class").orderBy(F.desc("similarity")))
-
-    def lists(turn: int) -> DataFrame:
-        routed = rows.mapInArrow(lambda it: _routed(it, laid_out.value, candidates, turn, passes), _ROUTED)
-        sorted_ = routed.repartition("model", "shard").sortWithinPartitions("model", "shard", "kind", "cell")
-        found = sorted_.mapInArrow(lambda it: _ranked(it, k), "class bigint, other bigint, similarity double")
-        return as_table(found.withColumn("n", best).where(F.col("n") <= k).drop("n"), "nearest", freed=True)
-
-    found = [lists(turn) for turn in range(passes)]
-    release(kept)
-    return reduce(DataFrame.unionByName, found)
+    divided = spark.sparkContext.broadcast(indexes)
+    folders = [qualified(spark, table._mnemoframe_path) for table in tables]
+    paths = [f"{folder}/{name}" for folder in folders for name in sorted(entries_of(spark, folder)) if name.endswith(".parquet")]
+    out = "class bigint, other bigint, similarity double"
+    if not paths:
+        return spark.createDataFrame([], out)
+    found = as_table(spark.range(0, len(paths), 1, len(paths)).mapInArrow(lambda it: _searched(it, paths, divided.value, candidates, k), out), "nearest", freed=True)
+    release(*tables)
+    return found
 
 
 def _directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,11 +521,10 @@ def nearest_vectors(rows: DataFrame, id: str, model: str, vector: str, k: int =
     codebooks being fitted on a sample of TRAINING_ROWS; every vector is then indexed. For each
     query the pairs of centroids are traversed in the order of their summed distance with a
     heap, until their cells hold ``candidates`` entries. Just the entries of these cells are reranked by
-    exact cosine. Cells lie in shards of neighbouring cells, to which the queries go; a cell
-    that is too large for a shard has several. Centroids grow with the root of a model's
+    exact cosine. Whole cells lie in shards; a cell that is too large for a shard has several. Centroids grow with the root of a model's
     vectors, shards with their number. Vectors of one direction are one class in
     the index, of which the first k + 1 ids are kept, as no list needs more. What goes to the driver and to the
-    workers is the cells' sizes and shards, at most CENTROIDS squared a model.
+    workers is the cells' sizes, at most CENTROIDS squared a model.
     """
     rows = rows.select(F.col(id).cast("string").alias("id"), F.col(model).cast("string").alias("model"), F.col(vector).cast("array<float>").alias("vector")).where("id IS NOT NULL AND model IS NOT NULL")
     named = rows.withColumn("model", F.concat_ws("\x1f", "model", F.size("vector").cast("string"))).mapInArrow(_directions, "id string, model string, vector array<float>, h1 bigint, h2 bigint")

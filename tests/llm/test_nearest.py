@@ -140,3 +140,44 @@ def test_a_pass_moves_a_bounded_share():
     passes = nearest.passes_for(12, n, size)
     assert passes == 4 and 12 * n * size / passes <= nearest.PASS_SHARE * n * size
     assert nearest.passes_for(12, 1000, size) == 1 and nearest.passes_for(0, 0, 0) == 1
+
+
+def test_queries_are_not_shuffled_to_the_cells_they_visit(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAST_ROWS", 100)
+    monkeypatch.setattr(nearest, "ROWS_PER_SHARD", 60)
+    plans, real = {}, nearest.as_table
+
+    def kept(df, name="cut", *rest, **named):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name, *rest, **named)
+
+    monkeypatch.setattr(nearest, "as_table", kept)
+    rows = [(f"f{i:03d}", "m" if i % 5 else "n", v) for i, v in enumerate(clustered(400, 12, 6))]
+    df = spark.createDataFrame(rows, "id string, model string, vector array<float>")
+    found = {(r["id"], r["other"]) for r in nearest_vectors(df, "id", "model", "vector", 4, candidates=10_000).collect()}
+    assert found == {(i, j) for i, v in brute(rows, 4).items() for j, _ in v}
+    assert "Repartition" not in plans["nearest"] and "Window" not in plans["nearest"]  # each query went to every shard that it visits before
+
+
+def test_many_cells_need_no_heap_for_each_query(monkeypatch):
+    monkeypatch.setattr(nearest, "SORTED_CELLS", 100)
+    monkeypatch.setattr(nearest.MultiIndex, "traverse", None)  # it was called for each query before
+    draw = np.random.default_rng(8)
+    index = nearest.MultiIndex(np.zeros((70, 1), np.float32), np.zeros((50, 1), np.float32))
+    index.divide(draw.integers(0, 3, 3500) * (draw.random(3500) < 0.2))
+    a, b = draw.random((30, 70)).astype(np.float32) ** 2, draw.random((30, 50)).astype(np.float32) * 3
+    for n in (1, 40, 400, 5000):
+        query, cell = index.traverse_all(a, b, n)
+        for q in range(30):
+            order = np.argsort((a[q][:, None].astype(float) + b[q][None, :]).ravel(), kind="stable")
+            upto = np.cumsum(index.sizes[order])
+            want = {c for c, s in zip(order.tolist(), (upto - index.sizes[order]).tolist()) if s < n and index.sizes[c]}
+            assert want == set(cell[query == q].tolist())
+
+
+def test_huge_and_tiny_vectors_have_their_neighbours(spark):
+    draw = np.random.default_rng(9)
+    rows = [(f"f{i:02d}", "m", (draw.standard_normal(5) * 10.0 ** draw.integers(-30, 30)).astype(np.float32).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, model string, vector array<float>")
+    found = {(r["id"], r["other"]) for r in nearest_vectors(df, "id", "model", "vector", 3).collect()}
+    assert found == {(i, j) for i, v in brute(rows, 3).items() for j, _ in v}
